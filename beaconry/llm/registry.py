@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that each hold QUERIES (name to function of session and folder) and SQL (name to DuckDB text).
-MODULES = ("quality_rules", "minhash", "pii", "url_filters", "token_ids", "lattice_lm", "mixing", "packing")
+MODULES = ("quality_rules", "minhash", "pii", "url_filters", "token_ids", "lattice_lm", "mixing", "packing", "embedding_dups", "quality_classifier")
 
 
 def _gather(what: str) -> dict:
