@@ -6,6 +6,9 @@ starts from the same view as common table expressions.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +33,7 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         Q[key] = f
         if sql is not None:
-            S[key] = (view.SQL + sql) if "rec" in sql.split() or "rec)" in sql else sql
+            S[key] = view.SQL + sql if re.search(r"\brec\b", sql) else sql
         return f
 
     return add
@@ -95,7 +98,7 @@ _SQL_VALUES = {
 _NUMERIC = " UNION ALL ".join(f"SELECT '{k}' AS label, CAST({v} AS DOUBLE) AS v FROM rec" for k, v in _SQL_VALUES.items()) + " UNION ALL SELECT 'sensor.value', CAST(unnest(samples) AS DOUBLE) FROM rec"
 
 
-@query(f", vals AS ({_NUMERIC}) SELECT label, count(v) AS n, min(v) AS min, max(v) AS max, round(avg(v), 6) AS avg, round(sum(v), 4) AS sum FROM vals WHERE v IS NOT NULL GROUP BY label -- rec")
+@query(f", vals AS ({_NUMERIC}) SELECT label, count(v) AS n, min(v) AS min, max(v) AS max, round(avg(v), 6) AS avg, round(sum(v), 4) AS sum FROM vals WHERE v IS NOT NULL GROUP BY label")
 def stats_numeric(spark, sf_dir):
     n = stats.numeric(view.all_records(spark, sf_dir))
     return n.select("label", "n", "min", "max", F.round("avg", 6).alias("avg"), F.round("sum", 4).alias("sum"))
@@ -153,31 +156,31 @@ def _device_events(spark, sf_dir):
     return view.events(spark, sf_dir).join(users, "record_index")
 
 
-@query(_SESSIONS.format(stream="e.user_id", limit=172800) + "SELECT stream AS device, CAST(session AS BIGINT) AS session, CAST(uptime_s AS BIGINT) AS uptime_s, CAST(seq AS BIGINT) AS seq, record_count, first_record_index, status FROM t -- rec")
+@query(_SESSIONS.format(stream="e.user_id", limit=172800) + "SELECT stream AS device, CAST(session AS BIGINT) AS session, CAST(uptime_s AS BIGINT) AS uptime_s, CAST(seq AS BIGINT) AS seq, record_count, first_record_index, status FROM t")
 def timeline_sessions(spark, sf_dir):
     s = timeline.sessions(_device_events(spark, sf_dir), ("device",), expected_s=86400, tolerance=2)
     return s.select("device", "session", "uptime_s", "seq", "record_count", "first_record_index", "status")
 
 
-@query(_SESSIONS.format(stream="0", limit=1200) + "SELECT record_count, count(*) AS sessions, count(*) FILTER (status = 'GAP') AS gaps FROM t GROUP BY ALL -- rec")
+@query(_SESSIONS.format(stream="0", limit=1200) + "SELECT record_count, count(*) AS sessions, count(*) FILTER (status = 'GAP') AS gaps FROM t GROUP BY ALL")
 def timeline_gaps(spark, sf_dir):
     """One stream in event order: a single session chain."""
     s = timeline.sessions(view.events(spark, sf_dir), expected_s=600, tolerance=2)
     return s.groupBy("record_count").agg(F.count(F.lit(1)).alias("sessions"), F.count_if(F.col("status") == "GAP").alias("gaps"))
 
 
-@query(_SESSIONS.format(stream="e.user_id", limit=172800) + "SELECT a.stream AS device, count(DISTINCT a.session) FILTER (a.session >= 0) AS sessions, count(*) FILTER (a.session < 0) AS unattributed, max((SELECT count(*) FROM t WHERE t.stream = a.stream AND status = 'GAP')) AS gaps, max((SELECT count(*) FROM t WHERE t.stream = a.stream AND status = 'ORDERING')) AS ordering_violations FROM s a GROUP BY a.stream -- rec")
+@query(_SESSIONS.format(stream="e.user_id", limit=172800) + "SELECT a.stream AS device, count(DISTINCT a.session) FILTER (a.session >= 0) AS sessions, count(*) FILTER (a.session < 0) AS unattributed, max((SELECT count(*) FROM t WHERE t.stream = a.stream AND status = 'GAP')) AS gaps, max((SELECT count(*) FROM t WHERE t.stream = a.stream AND status = 'ORDERING')) AS ordering_violations FROM s a GROUP BY a.stream")
 def timeline_summary(spark, sf_dir):
     return timeline.summary(_device_events(spark, sf_dir), ("device",), expected_s=86400, tolerance=2).select("device", "sessions", "gaps", "ordering_violations", "unattributed")
 
 
-@query(_SESSIONS.format(stream="0", limit=120) + "SELECT count(*) FILTER (session < 0) AS unattributed, count(*) AS records FROM s -- rec")
+@query(_SESSIONS.format(stream="0", limit=120) + "SELECT count(*) FILTER (session < 0) AS unattributed, count(*) AS records FROM s")
 def timeline_unattributed(spark, sf_dir):
     a = timeline.attributed(view.events(spark, sf_dir).select("path", "record_index", "tag"))
     return a.agg(F.count_if(F.col("session").isNull()).alias("unattributed"), F.count(F.lit(1)).alias("records"))
 
 
-@query(_SESSIONS.format(stream="e.user_id", limit=120) + "SELECT stream AS device, CAST(session AS BIGINT) AS session, type, count(*) AS n FROM s WHERE session >= 0 GROUP BY ALL -- rec")
+@query(_SESSIONS.format(stream="e.user_id", limit=120) + "SELECT stream AS device, CAST(session AS BIGINT) AS session, type, count(*) AS n FROM s WHERE session >= 0 GROUP BY ALL")
 def timeline_tag_counts(spark, sf_dir):
     s = timeline.sessions(_device_events(spark, sf_dir), ("device",))
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("type"), F.col(f"n_{n.lower()}").alias("n")) for n in TAGS]))
@@ -312,12 +315,12 @@ UNION ALL SELECT record_index, 'VAL-14', 'warning', 'firmware version 0.0.0' FRO
 """
 
 
-@query(_RULES + "SELECT * FROM v -- rec")
+@query(_RULES + "SELECT * FROM v")
 def validate_issues(spark, sf_dir):
     return validate.issues(view.all_records(spark, sf_dir)).select("record_index", "rule", "severity", "message")
 
 
-@query(_RULES + "SELECT (SELECT count(*) FROM rec) AS records, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, CASE WHEN count(*) FILTER (severity = 'error') > 0 THEN 'FAIL' ELSE 'OK' END AS verdict FROM v -- rec")
+@query(_RULES + "SELECT (SELECT count(*) FROM rec) AS records, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, CASE WHEN count(*) FILTER (severity = 'error') > 0 THEN 'FAIL' ELSE 'OK' END AS verdict FROM v")
 def validate_summary(spark, sf_dir):
     return validate.summary(view.all_records(spark, sf_dir))
 
@@ -428,8 +431,6 @@ for _codec in (0, 1, 3, 4, 6):  # varint and delta carry whole 32-bit words only
 
 @query("SELECT DISTINCT 'c' || record_index // 500 AS path, 'OK' AS signed, 'FAIL' AS wrong_key, 'no-key' AS no_key FROM rec WHERE record_index < 1099511627776")
 def sign_verify(spark, sf_dir):
-    import pandas as pd
-
     def verdict(key):
         @F.pandas_udf("string")
         def check(c: pd.Series) -> pd.Series:
