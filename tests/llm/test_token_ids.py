@@ -26,7 +26,7 @@ def test_every_selector():
     assert len(simple8b.encode(np.zeros(12_000, np.uint64), 12_000)) < 1000
 
 
-@pytest.mark.parametrize("text", ["", " ", "a", " a", "a ", "a b", "a  b", "a \n b", "a\n b c", "\n\na b", "it's   x y  z", "x" * 30_000, "a\tb c\x1cd e", "<|endoftext|> x <|endoftext|>", "é ñ 𝄞 日本 語"])
+@pytest.mark.parametrize("text", ["", " ", "a", " a", "a ", "a b", "a  b", "a \n b", "a\n b c", "\n\na b", "it's   x y  z", "x" * 30_000, "one one. one, two. .. , é. 日. 1. a", "a\tb c\x1cd e", "<|endoftext|> x <|endoftext|>", "é ñ 𝄞 日本 語"])
 def test_pieces_encode_as_the_whole(text):
     e = token_ids.Encoder(token_ids.public_vocabulary())
     whole = e.model.encode(text, add_special_tokens=False).ids
