@@ -1,14 +1,14 @@
 """Hashed features of whole texts, and linear heads trained on a bounded labelled sample.
 
-A text's features are the presence of its lower-cased words, hashed into 2^16 slots, and the share of its
-words that have each shape (letters, digits and other characters, runs cut to one), hashed into 2^10 slots.
+A text's features are the presence of its lower-cased words without marks at their ends, hashed into 2^20 slots, and the share of its
+words that have each shape (their first marks, and whether they have letters or digits), hashed into 2^10 slots.
 A worker remembers a bounded number of words. Training is full-batch Adam on the driver over at most
-``rows`` labelled rows, those with the smallest hash of their id; everything else covers all documents.
+``rows`` labelled rows, those with the smallest hash of their id; slots that fewer than ``least`` of them
+share keep no weight, so rare words can't be learned by heart. Everything else covers all documents.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,29 +16,39 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS, SHAPES = 1 << 16, 1 << 10
+WORDS, SHAPES = 1 << 20, 1 << 10
 DIM = WORDS + SHAPES
-WORD_CACHE = 200_000
+WORD_CACHE = 400_000
+#: Characters that a word's ends lose before it is hashed; its shape keeps them.
+EDGES = b""".,;:!?"'()[]{}|#*$%&<>-_"""
 
 
 @dataclass(frozen=True)
 class Training:
     #: Labelled rows at most.
     rows: int = 8_000
-    rounds: int = 120
-    rate: float = 0.05
-    decay: float = 1e-5
+    rounds: int = 300
+    rate: float = 0.1
+    #: Price of a weight's size (an L1 penalty): words that don't help get none.
+    sparsity: float = 1e-3
+    #: Texts that must share a slot: this many, and one in 200.
+    least: int = 3
+
+
+_PLAIN = bytes(range(48, 58)) + bytes(range(97, 123)) + bytes(range(128, 256))
 
 
 def shape(word: bytes) -> bytes:
-    return re.sub(rb"(.)\1+", rb"\1", re.sub(rb"[0-9]", b"0", re.sub(rb"[a-z\x80-\xff]", b"a", word)), flags=re.S)
+    """The first marks of a word, and whether it has letters or digits besides."""
+    marks = word.translate(None, _PLAIN)
+    return marks[:3] + b"a" if len(marks) < len(word) else marks[:3]
 
 
 class _Slots(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= WORD_CACHE:
             self.clear()
-        self[word] = n = xxhash.xxh3_64_intdigest(word) % WORDS << 32 | xxhash.xxh3_64_intdigest(shape(word)) % SHAPES
+        self[word] = n = xxhash.xxh3_64_intdigest(word.strip(EDGES) or word) % WORDS << 32 | xxhash.xxh3_64_intdigest(shape(word)) % SHAPES
         return n
 
 
@@ -50,8 +60,9 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else ()
     both = np.fromiter(map(_slots.__getitem__, words), np.int64, len(words))
     present = np.unique(both >> 32)
-    shapes, times = np.unique(both & 0xFFFFFFFF, return_counts=True)
-    return np.concatenate([present, WORDS + shapes]), np.concatenate([np.ones(len(present)), 4 * np.sqrt(times / max(1, len(words)))]), len(words)
+    times = np.bincount(both & 0xFFFFFFFF, minlength=SHAPES)
+    shapes = np.flatnonzero(times)
+    return np.concatenate([present, WORDS + shapes]), np.concatenate([np.ones(len(present)), 4 * np.sqrt(times[shapes] / max(1, len(words)))]), len(words)
 
 
 class Rows:
@@ -63,21 +74,41 @@ class Rows:
         self.values = np.concatenate([p[1] for p in parts]) if parts else np.empty(0)
         self.words = np.array([p[2] for p in parts], np.int64)
         self.row = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
+        self.width = DIM
+
+    def common(self, least: int) -> tuple["Rows", np.ndarray]:
+        """The rows over the slots that ``least`` rows share, renumbered, and those slots."""
+        shared = np.bincount(self.slots, minlength=DIM) >= least
+        kept, out = shared[self.slots], object.__new__(Rows)
+        slots = np.flatnonzero(shared)
+        out.slots, out.values, out.row, out.words, out.width = np.searchsorted(slots, self.slots[kept]), self.values[kept], self.row[kept], self.words, len(slots)
+        return out, slots
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.values * w[self.slots], len(self.words))
 
     def back(self, g: np.ndarray) -> np.ndarray:
-        return np.bincount(self.slots, self.values * g[self.row], DIM)
+        return np.bincount(self.slots, self.values * g[self.row], self.width)
+
+
+def spread(w: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Weights of ``slots`` as weights of all slots."""
+    out = np.zeros((*w.shape[:-1], DIM), np.float32)
+    out[..., slots] = w
+    return out
 
 
-def _adam(start: list[np.ndarray], gradient, t: Training) -> list[np.ndarray]:
-    x, m, v = start, [np.zeros_like(s) for s in start], [np.zeros_like(s) for s in start]
+def _adam(x: list[np.ndarray], gradient, t: Training) -> list[np.ndarray]:
+    """Full-batch Adam; the weights (the first of ``x``) shrink towards 0 after each step, so most end there."""
+    m, v = [np.zeros_like(s) for s in x], [np.zeros_like(s) for s in x]
     for i in range(1, t.rounds + 1):
         for j, g in enumerate(gradient(x)):
             m[j] = 0.9 * m[j] + 0.1 * g
             v[j] = 0.999 * v[j] + 0.001 * g * g
-            x[j] = x[j] - t.rate * (m[j] / (1 - 0.9**i)) / (np.sqrt(v[j] / (1 - 0.999**i)) + 1e-8)
+            step = t.rate / (np.sqrt(v[j] / (1 - 0.999**i)) + 1e-8)
+            x[j] = x[j] - step * m[j] / (1 - 0.9**i)
+            if j == 0:
+                x[j] = np.sign(x[j]) * np.maximum(np.abs(x[j]) - step * t.sparsity, 0.0)
     return x
 
 
@@ -88,15 +119,17 @@ def sigmoid(x):
 def fit_softmax(rows: Rows, y: np.ndarray, classes: int, t: Training) -> tuple[np.ndarray, np.ndarray]:
     """Weights (classes x DIM) and offsets of a multinomial regression."""
     n = max(1, len(y))
+    rows, slots = rows.common(max(t.least, n // 200))
     prior = np.log((np.bincount(y, minlength=classes) + 1) / (len(y) + classes))
 
     def gradient(x):
         w, b = x
         e = probabilities(rows, w, b)
         e[np.arange(len(y)), y] -= 1
-        return [np.stack([rows.back(e[:, k]) for k in range(classes)]) / n + t.decay * w, e.sum(axis=0) / n]
+        return [np.stack([rows.back(e[:, k]) for k in range(classes)]) / n, e.sum(axis=0) / n]
 
-    return tuple(_adam([np.zeros((classes, DIM)), prior], gradient, t))
+    w, b = _adam([np.zeros((classes, rows.width)), prior], gradient, t)
+    return spread(w, slots), b
 
 
 def probabilities(rows: Rows, w: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -108,6 +141,7 @@ def probabilities(rows: Rows, w: np.ndarray, b: np.ndarray) -> np.ndarray:
 def fit_ordinal(rows: Rows, y: np.ndarray, grades: int, t: Training) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and increasing thresholds: P(grade <= k) = sigmoid(threshold_k - w.x)."""
     n = max(1, len(y))
+    rows, slots = rows.common(max(t.least, n // 200))
     share = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / n, 0.01, 0.99)
     first = np.log(share / (1 - share))
     gaps = np.log(np.maximum(np.diff(first), 0.05))
@@ -124,10 +158,10 @@ def fit_ordinal(rows: Rows, y: np.ndarray, grades: int, t: Training) -> tuple[np
         dh, dl = hi * (1 - hi) / p, lo * (1 - lo) / p  # d log p by the upper and by the lower threshold
         by_cut = np.array([-(dh[y == k].sum() - dl[y == k + 1].sum()) for k in range(grades - 1)]) / n
         ga = np.concatenate([[by_cut.sum()], np.exp(a[1:]) * np.cumsum(by_cut[::-1])[::-1][1:]])
-        return [rows.back(dh - dl) / n + t.decay * w, ga]
+        return [rows.back(dh - dl) / n, ga]
 
-    w, a = _adam([np.zeros(DIM), np.concatenate([first[:1], gaps])], gradient, t)
-    return w, cuts(a)
+    w, a = _adam([np.zeros(rows.width), np.concatenate([first[:1], gaps])], gradient, t)
+    return spread(w, slots), cuts(a)
 
 
 def tails(rows: Rows, w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
