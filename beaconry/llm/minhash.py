@@ -7,12 +7,12 @@ t ln t shingles, and equal coordinates estimate the Jaccard similarity with the
 sampling without replacement.
 
 Documents with equal shingle sets become one class at once. The classes' sketches are cut into bands;
-classes that share a band are candidates. Each band's members are compared with one centre (a star,
+classes that share a band are candidates. Each band's members are compared with its smallest id (a star,
 not all pairs), and what that verifies is joined into components. Where a band still holds several
-components, a second star uses the member with the most shared bands, and what is left after it is
-compared in blocks of bounded size across components, first by sketch (six standard deviations below
-the threshold drop a pair), then by the full sets. Every candidate pair therefore ends in one component or
-has been compared. With 40 bands of 6 rows a pair at similarity 0.8 is missed with probability 5e-6.
+components, all its members are compared across components, in blocks of bounded size: a block
+intersects whole sets by counting and returns only the links that join components, at most one per row. So
+every candidate pair ends in one component or has been compared on full sets. With 40 bands of 6 rows a
+pair at similarity 0.8 is missed with probability 5e-6.
 
 Defined results: null and blank texts have the empty set and link with nothing; rows without an id link
 with nothing, have no component and are kept; rows that repeat an id are one document; ties don't
@@ -46,7 +46,11 @@ class Params:
     percent: int = 80
     bands: int = 40
     rows: int = 6
-    block: int = 256
+    #: Rows, and shingles, of a block that compares the members of one band.
+    block: int = 512
+    block_shingles: int = 1 << 20
+    #: Members that one copy of a centre serves.
+    star: int = 100
     #: Ids (8 bytes each) that may be broadcast.
     broadcast_ids: int = 500_000
 
@@ -113,20 +117,18 @@ def band_keys(coordinates: np.ndarray, p: Params) -> np.ndarray:
 
 def _sketches(batches, p: Params):
     for batch in batches:
-        n, prints, keys, sigs = [], [], [], []
+        n, prints, keys = [], [], []
         for text in batch.column(1).to_pylist():
             s = shingle_set(text, p.words)
             n.append(len(s))
             if len(s):
-                c = sketch(s, p.bands * p.rows)
                 prints.append(xxhash.xxh3_128_digest(s.tobytes()))
-                keys.append(band_keys(c, p))
-                sigs.append(mix(c).astype(np.uint8).tobytes())
+                keys.append(band_keys(sketch(s, p.bands * p.rows), p))
             else:
-                prints.append(None), keys.append(None), sigs.append(None)
+                prints.append(None), keys.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-            ["id", "n", "print", "bands", "sig"],
+            [batch.column(0), pa.array(n, pa.int64()), pa.array(prints, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+            ["id", "n", "print", "bands"],
         )
 
 
@@ -169,7 +171,7 @@ def verified(pairs: DataFrame, texts: DataFrame, p: Params, stash: Stash) -> Dat
 
     Each member's text moves once to its centre; a centre with many members is copied to several tasks.
     """
-    load = stash.put(pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / 500).cast("int").alias("salts")))
+    load = stash.put(pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / p.star).cast("int").alias("salts")))
     ids = stash.put(pairs.select(F.col("i").alias("id")).union(pairs.select("c")).distinct())
     texts = stash.put(texts.join(_few(ids, p.broadcast_ids), "id", "left_semi").dropDuplicates(["id"]))
     centres = load.join(texts, load.c == texts.id).select("c", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("id").alias("i"), "text")
@@ -180,29 +182,48 @@ def verified(pairs: DataFrame, texts: DataFrame, p: Params, stash: Stash) -> Dat
     return rows.select("c", "role", "i", "text").mapInArrow(lambda b: _verify(b, p), "u long, v long")
 
 
+def _joins(g: pd.DataFrame, known: dict, p: Params):
+    """Links (u > v) that join components within one pair of blocks of one band."""
+    ids, label, block = (g[c].to_numpy().copy() for c in ("id", "component", "block"))
+    sets = []
+    for i, text in zip(ids.tolist(), g["text"]):
+        if i not in known:
+            if len(known) >= 1000:
+                known.clear()
+            known[i] = shingle_set(text, p.words)
+        sets.append(known[i])
+    n = np.array([len(x) for x in sets])
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(n) - n
+    mark = np.zeros(int(column.max()) + 1, np.int64)
+    lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
+    for x in np.flatnonzero(block == lo):
+        later = (block == hi) & (label != label[x]) & (100 * np.minimum(n, n[x]) >= p.percent * np.maximum(n, n[x]))
+        if lo == hi:
+            later[: x + 1] = False
+        if not later.any():
+            continue
+        own = column[starts[x] : starts[x] + n[x]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[column], starts)
+        mark[own] = 0
+        for y in np.flatnonzero(later & (100 * both >= p.percent * (n + n[x] - both))):
+            if label[y] != label[x]:
+                yield max(ids[x], ids[y]), min(ids[x], ids[y])
+                label[label == label[y]] = label[x]
+
+
 def _blocks(batches, p: Params):
-    """Candidate pairs across components within groups of (key, lo, hi), rows sorted by these."""
-    least = p.percent / 100 - 6 * math.sqrt(p.percent / 100 * (1 - p.percent / 100) / (p.bands * p.rows))
+    """``u, v`` of groups of (key, lo, hi), the rows sorted by these."""
     held: pd.DataFrame | None = None
-
-    def pairs(g: pd.DataFrame):
-        ids, comp, n, block = (g[c].to_numpy() for c in ("id", "component", "n", "block"))
-        sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g), -1)
-        lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
-        left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-        for x in left:
-            y = right if lo != hi else right[right > x]
-            y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= p.percent * np.maximum(n[y], n[x]))]
-            y = y[(sig[y] == sig[x]).mean(axis=1) >= least] if len(y) else y
-            for z in y:
-                yield min(ids[x], ids[z]), max(ids[x], ids[z])
+    known: dict[int, np.ndarray] = {}
 
     def out(frame: pd.DataFrame, whole: bool):
         cut = _runs([frame[c].to_numpy() for c in ("key", "lo", "hi")])
         ends = list(zip(cut[:-1], cut[1:]))
         rest = None if whole else frame.iloc[ends[-1][0] :]
-        found = [x for a, b in (ends if whole else ends[:-1]) for x in pairs(frame.iloc[a:b])]
-        return pd.DataFrame(sorted(set(found)), columns=["c", "i"]).astype("int64"), rest
+        found = {x for a, b in (ends if whole else ends[:-1]) for x in _joins(frame.iloc[a:b], known, p)}
+        return pd.DataFrame(sorted(found), columns=["u", "v"]).astype("int64"), rest
 
     for frame in batches:
         if not len(frame):
@@ -218,50 +239,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     p = p or Params()
     stash = Stash(docs.sparkSession)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = stash.put(texts.mapInArrow(lambda b: _sketches(b, p), "id long, n long, print binary, bands array<long>, sig binary"))
+    rows = stash.put(texts.mapInArrow(lambda b: _sketches(b, p), "id long, n long, print binary, bands array<long>"))
     # classes of equal sets
     copies = stash.put(rows.filter("id IS NOT NULL AND n > 0").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
     member = stash.put(rows.select("id", "n", "print").join(copies, "print", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
     # rows of copies that stand for no class; few beside the others, and never the others' bands
     idle = stash.put(member.filter("id <> rep").select("id").distinct())
     reps = rows.filter("id IS NOT NULL AND n > 0").join(_few(idle, p.broadcast_ids), "id", "left_anti").dropDuplicates(["id"])
-    reps = stash.put(reps.select("id", "n", "bands", "sig"))
+    reps = stash.put(reps.select("id", "n", "bands"))
     # bands shared by two classes or more
-    banded = reps.select("id", F.explode("bands").alias("key"))
+    banded = reps.select("id", "n", F.explode("bands").alias("key"))
     shared = stash.put(banded.groupBy("key").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
-    members = stash.put(banded.join(shared, "key").select("key", "id", "c", "size"))
+    members = stash.put(banded.join(shared, "key").select("key", "id", "n", "c"))
     pairs = stash.put(members.filter("id <> c").select("c", F.col("id").alias("i")).distinct())
     edges = stash.put(verified(pairs, texts, p, stash))
     label = components(edges, stash)
 
-    def open_members(label: DataFrame) -> DataFrame:
-        """Members of the bands that still hold several components."""
-        at = members.join(label, members.id == label.node, "left").select("key", "id", "size", F.coalesce("component", "id").alias("component"))
-        at = stash.put(at)
-        mixed = stash.put(at.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a < b").select("key"))
-        return stash.put(at.join(mixed, "key"))
-
-    left = open_members(label)
+    # bands that still hold several components
+    at = stash.put(members.join(label, members.id == label.node, "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
+    total, rows_ = F.sum("n"), F.count(F.lit(1))
+    mixed = at.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.greatest(rows_ / p.block, total / p.block_shingles)).cast("int").alias("nb"))
+    mixed = stash.put(mixed.filter("a < b").select("key", "nb"))
+    left = stash.put(at.join(mixed, "key").select("key", "nb", "id", "component", F.pmod(F.xxhash64("id", "key"), F.col("nb")).cast("int").alias("block")))
     if not left.isEmpty():
-        weight = left.groupBy("id").agg(F.sum("size").alias("weight"))
-        heavy = stash.put(left.join(weight, "id").select("key", "id", "weight", "component"))
-        centre = stash.put(heavy.groupBy("key").agg(F.max_by(F.struct("id", "component"), F.struct("weight", F.negative("id"))).alias("x")))
-        star = heavy.join(centre, "key").filter("x.component <> component").select(F.greatest("x.id", "id").alias("i"), F.least("x.id", "id").alias("j"), F.col("x.id").alias("c"))
-        star = star.groupBy("i", "j").agg(F.first("c").alias("c")).select("c", F.when(F.col("c") == F.col("i"), F.col("j")).otherwise(F.col("i")).alias("i"))
-        star = stash.put(star.join(pairs, ["c", "i"], "left_anti"))
-        edges = stash.put(edges.union(verified(star, texts, p, stash)))
+        wanted = stash.put(left.select("id").distinct())
+        own = stash.put(texts.join(_few(wanted, p.broadcast_ids), "id", "left_semi").dropDuplicates(["id"]))
+        laid = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        laid = laid.select("key", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), "block", "id", "component").join(own, "id")
+        laid = laid.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        joins = laid.select("key", "lo", "hi", "block", "id", "component", "text").mapInPandas(lambda b: _blocks(b, p), "u long, v long")
+        edges = stash.put(edges.union(joins.distinct()))
         label = components(edges, stash)
-        left = open_members(label)
-        if not left.isEmpty():
-            counts = stash.put(left.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / p.block).cast("int").alias("nb")))
-            own = left.join(counts, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("nb")).cast("int"))
-            own = own.join(reps.select("id", "n", "sig"), "id")
-            laid = own.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), "block", "id", "component", "n", "sig")
-            laid = laid.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-            last = laid.mapInPandas(lambda b: _blocks(b, p), "c long, i long").distinct()
-            last = stash.put(last.join(pairs, ["c", "i"], "left_anti").join(star, ["c", "i"], "left_anti"))
-            edges = stash.put(edges.union(verified(last, texts, p, stash)))
-            label = components(edges, stash)
     joined = member.join(label, member.rep == label.node, "left")
     component = F.coalesce("component", "rep")
     return joined.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
