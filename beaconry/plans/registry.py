@@ -1,6 +1,6 @@
 """Queries over the driver's tables and their SQL counterparts, one entry per operator.
 
-Each runs over its whole tables. ``V`` queries use the record view of ``telemetry_view``; the SQL side
+Each runs over its whole tables through the record view of ``telemetry_view``; the SQL side
 starts from the same view as common table expressions.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs, text, wire
-from ..functions.schema import NAMES, TAGS, name_tag, tag_name
+from ..functions.schema import TAGS, name_tag, tag_name
 from ..operators import compare, ranking, redact, stats, timeline, validate
 from ..sources import readers, writers
 from . import dsl
@@ -104,7 +104,7 @@ def stats_numeric(spark, sf_dir):
     return n.select("label", "n", "min", "max", F.round("avg", 6).alias("avg"), F.round("sum", 4).alias("sum"))
 
 
-@query("SELECT sensor_id, count(*) AS records, count(x) AS n, CAST(min(x) AS DOUBLE) AS min, CAST(max(x) AS DOUBLE) AS max FROM (SELECT record_index, sensor_id, unnest(CASE WHEN len(samples) = 0 THEN [NULL] ELSE samples END) AS x FROM rec WHERE tag = 17) GROUP BY sensor_id".replace("count(*) AS records", "count(DISTINCT record_index) AS records"))
+@query("SELECT sensor_id, count(DISTINCT record_index) AS records, count(x) AS n, CAST(min(x) AS DOUBLE) AS min, CAST(max(x) AS DOUBLE) AS max FROM (SELECT record_index, sensor_id, unnest(CASE WHEN len(samples) = 0 THEN [NULL] ELSE samples END) AS x FROM rec WHERE tag = 17) GROUP BY sensor_id")
 def stats_sensor_explode(spark, sf_dir):
     s = view.sensors(spark, sf_dir).select(F.col("sensor.sensor_id").cast("long").alias("sensor_id"), F.col("sensor.samples").alias("s"))
     return s.groupBy("sensor_id").agg(F.count(F.lit(1)).alias("records"), F.sum(F.size("s")).cast("long").alias("n"), F.min(F.array_min("s")).cast("double").alias("min"), F.max(F.array_max("s")).cast("double").alias("max"))
