@@ -26,20 +26,13 @@ _COUNT = np.array([1] + [SELECTORS[s][0] for s in range(1, 16)], np.int64)
 
 def _choose(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each position the selector of a word that would start there. ends: the end of its block."""
-    n = len(values)
-    at = np.arange(n, dtype=np.int64)
-    room = ends - at
-    out = np.full(n, ESCAPE, np.uint8)
+    out = np.full(len(values), ESCAPE, np.uint8)
     for s in range(15, 0, -1):  # fewer bits, more values: the later, the better
         count, bits = SELECTORS[s]
-        wide = values >= (U(1) << U(bits))
-        if count == 1:
-            out[~wide] = s
-            continue
-        if np.count_nonzero(wide) > n - count:
-            continue
-        stop = np.minimum.accumulate(np.where(wide, at, n)[::-1])[::-1]  # the next value that is too wide
-        out[np.minimum(stop - at, room) >= count] = s
+        at = np.flatnonzero(values < (U(1) << U(bits)))
+        start = at[: len(at) - count + 1] if len(at) >= count else at[:0]
+        start = start[(at[count - 1 :] - start == count - 1)] if len(start) else start  # a run of narrow values
+        out[start[ends[start] - start >= count]] = s
     return out
 
 

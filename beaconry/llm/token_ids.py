@@ -29,8 +29,10 @@ from pyspark.sql import functions as F
 from . import simple8b
 from .common import Stash
 
-#: Pieces that a worker remembers.
-CACHE = 400_000
+#: Pieces that a worker remembers in each of two generations; a piece that is met again moves to the young one.
+CACHE = 450_000
+#: Pieces that are encoded as one text.
+JOINED = 2_000
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -58,31 +60,63 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | None] = {}
+        self.known: dict[str, bytes | bool] = {}
+        self.old: dict[str, bytes | bool] = {}
+        size = self.model.get_vocab_size()
+        self.stops = dict(zip(".,", self._raw([".", ","])))
+        #: Whether a token starts with the blank's byte.
+        self.opens = np.array([(self.model.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
     def _raw(self, pieces: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
 
+    def _blank_led(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece behind a blank, many pieces in one text: only a piece's first token starts with a blank."""
+        (e,) = self.model.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)
+        ids = np.array(e.ids, "<u4")
+        cuts = np.flatnonzero(self.opens[ids])
+        if len(cuts) != len(pieces):
+            return self._raw([" " + p for p in pieces])
+        data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip((4 * cuts).tolist(), ends)]
+
     def batch(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") for t in texts]
+        firsts = [c.pop(0) for c in cut]
         if len(self.known) > CACHE:
-            self.known.clear()
-        new = set().union(*(c[1:] for c in cut)) - self.known.keys()
-        # pieces whose ends are white space don't encode alone
+            self.old, self.known = self.known, {}
+        known, old = self.known, self.old
+        rows, holes, new = [], [], set()
+        for c in cut:
+            row = list(map(known.get, c))
+            hole = [i for i, x in enumerate(row) if x is None]
+            new.update([c[i] for i in hole])
+            rows.append(row), holes.append(hole)
+        again = new & old.keys()
+        known.update(zip(again, map(old.__getitem__, again)))
+        new -= again
+        # letters and a stop are two pre-tokens: such a piece takes the ids of its letters, often known already
+        stopped = [p for p in new if p[-1:] in self.stops and p[:-1].isalpha()]
+        new.difference_update(stopped)
+        bases = {p[:-1] for p in stopped} - known.keys()
+        known.update({b: old[b] for b in bases & old.keys()})
+        new |= bases - known.keys()
+        # pieces whose ends are white space don't encode alone: False
         whole = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        for i in range(0, len(whole), 50_000):
-            part = whole[i : i + 50_000]
-            self.known.update(zip(part, self._raw([" " + p for p in part])))
-        for p in new.difference(whole):
-            self.known[p] = None
-        known, out = self.known, []
-        firsts = self._raw([c[0] for c in cut])
-        for text, first, c in zip(texts, firsts, cut):
+        for i in range(0, len(whole), JOINED):
+            part = whole[i : i + JOINED]
+            known.update(zip(part, self._blank_led(part)))
+        known.update(dict.fromkeys(new.difference(whole), False))
+        known.update([(p, known[p[:-1]] + self.stops[p[-1]]) for p in stopped])
+        out = []
+        for text, first, ids, c, row, hole in zip(texts, firsts, self._raw(firsts), cut, rows, holes):
+            for i in hole:
+                row[i] = known[c[i]]
             try:
-                if c[0][-1:].isspace() or (not c[0] and len(c) > 1):
+                if first[-1:].isspace() or (not first and c):
                     raise TypeError
-                out.append(first + b"".join(map(known.__getitem__, c[1:])))
-            except TypeError:
+                out.append(ids + b"".join(row))
+            except TypeError:  # a False among them
                 out.append(self._careful(text))
         return out
 
