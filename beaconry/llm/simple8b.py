@@ -27,11 +27,18 @@ _COUNT = np.array([1] + [SELECTORS[s][0] for s in range(1, 16)], np.int64)
 def _choose(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each position the selector of a word that would start there. ends: the end of its block."""
     out = np.full(len(values), ESCAPE, np.uint8)
+    at = np.arange(len(values))  # the values that are narrow enough so far
+    most = int(values.max()) if len(values) else 0
+    if most < 1 << 32:
+        values = values.astype(np.uint32)
     for s in range(15, 0, -1):  # fewer bits, more values: the later, the better
         count, bits = SELECTORS[s]
-        at = np.flatnonzero(values < (U(1) << U(bits)))
-        start = at[: len(at) - count + 1] if len(at) >= count else at[:0]
-        start = start[(at[count - 1 :] - start == count - 1)] if len(start) else start  # a run of narrow values
+        if most >> bits:
+            at = at[values[at] < values.dtype.type(1 << bits)]
+        if len(at) < count:
+            break
+        start = at[: len(at) - count + 1]
+        start = start[at[count - 1 :] - start == count - 1]  # a run of narrow values
         out[start[ends[start] - start >= count]] = s
     return out
 

@@ -110,8 +110,8 @@ class Encoder:
         known.update([(p, known[p[:-1]] + self.stops[p[-1]]) for p in stopped])
         out = []
         for text, first, ids, c, row, hole in zip(texts, firsts, self._raw(firsts), cut, rows, holes):
-            for i in hole:
-                row[i] = known[c[i]]
+            for i, x in zip(hole, map(known.__getitem__, map(c.__getitem__, hole))):
+                row[i] = x
             try:
                 if first[-1:].isspace() or (not first and c):
                     raise TypeError
