@@ -6,7 +6,10 @@ of 64 buckets per power of two, so a bucket's upper end is within 1/64 of each o
 bucket counts, and sketches merge by adding counts; the order and the number of partitions do not
 change them, and so not the thresholds. Sources with fewer than ``min_docs`` documents use the merged
 sketch of their language. The verdict is Tukey's far fence: a measure above
-``q3 + spread * max(q3 - q1, floor)`` rejects the document; short words have a lower fence too.
+``q3 + spread * max(q3 - q1, q9 - q3)`` rejects the document, where ``q9`` is the last decile (most groups'
+quartiles of symbols, repeated lines and repeated words are all 0); short words have a lower fence too. A document
+may exceed the fence by ``units`` symbols, lines or three-word windows, as far as its own share is rounded. Rules with
+``floors`` have ``max(q3 - q1, floor)`` instead and no units: so ``op2_quality_rules``, whose SQL defines it.
 
 Defined results: a null text is an empty text, has no words and fails the base; null languages and
 sources form groups of their own; repeated rows are judged each; an empty table gives no rows; other
@@ -23,9 +26,10 @@ from pyspark.sql import Window
 
 from .common import BLANK, WORD, Stash, fresh, whole_text
 
-#: Measures, and the least spread that a fence counts (in the measure's unit, so that a group without
-#: any variation doesn't reject what differs by a trifle).
+#: Measures, and the least spread that a fence of op2's SQL counts (in the measure's unit).
 MEASURES = {"word_length": 100, "symbols": 500, "dup_lines": 2000, "repeats": 1000}
+#: The least step of a measure: so much of its numerator, over its denominator.
+STEPS = {"symbols": (1, "word_chars"), "dup_lines": (1, "n_lines"), "repeats": (6, "n_words")}
 
 
 @dataclass(frozen=True)
@@ -34,6 +38,10 @@ class Rules:
     max_repeat_percent: int = 50
     spread: int = 3
     min_docs: int = 100
+    #: Steps of its own measure by which a document may exceed a fence.
+    units: int = 3
+    #: Least spread by measure, for fences without the last decile and units.
+    floors: dict | None = None
     #: Groups of thresholds that may be broadcast (about 100 bytes each).
     broadcast_groups: int = 50_000
     salts: int = 64
@@ -114,7 +122,7 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key the total ``n`` and the sketch's ``q1`` and ``q3``.
+    """Per key the total ``n``, the sketch's ``q1`` and ``q3``, and its last decile ``q9``.
 
     A group's buckets are few (under 64 for each power of two), so the window holds no large group.
     """
@@ -122,8 +130,8 @@ def quartiles(sketches: DataFrame, keys: list[str]) -> DataFrame:
     run = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
     s = sketches.select(*keys, "bucket", "n", F.sum("n").over(run).alias("upto"), F.sum("n").over(group).alias("total"))
     end = F.expr(bucket_end("bucket"))
-    at = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("total") * q, end))
-    return s.groupBy(*keys).agg(F.first("total").alias("n"), at(1).alias("q1"), at(3).alias("q3"))
+    at = lambda q, of: F.min(F.when(F.col("upto") * of >= F.col("total") * q, end))
+    return s.groupBy(*keys).agg(F.first("total").alias("n"), at(1, 4).alias("q1"), at(3, 4).alias("q3"), at(9, 10).alias("q9"))
 
 
 def measures(m: str) -> dict[str, Column]:
@@ -137,6 +145,14 @@ def measures(m: str) -> dict[str, Column]:
     }
 
 
+def slack(k: str, m: str, rules: Rules) -> Column:
+    """What measure ``k`` of a document may exceed its fence by: ``units`` steps of that document's own measure."""
+    if rules.floors is not None or k not in STEPS:
+        return F.lit(0).cast("long")
+    step, of = STEPS[k]
+    return F.expr(f"cast({rules.units * step * 10_000} div greatest({m}.{of}, 1L) as bigint)")
+
+
 def base_failed(m: str, rules: Rules) -> Column:
     return F.expr(f"{m}.n_words < {rules.min_words} OR 100 * {m}.n_repeat_words > {rules.max_repeat_percent} * {m}.n_words")
 
@@ -152,12 +168,15 @@ def thresholds(measured: DataFrame, m: str, lang: str, source: str, rules: Rules
     own = sketch(long, ["lang", "source", "measure"], "value")
     own_q = quartiles(own, ["lang", "source", "measure"])
     lang_q = quartiles(merge(own, ["lang", "measure"]), ["lang", "measure"]).select(
-        F.col("lang").alias("l"), F.col("measure").alias("k"), F.col("q1").alias("lang_q1"), F.col("q3").alias("lang_q3")
+        F.col("lang").alias("l"), F.col("measure").alias("k"), *[F.col(q).alias(f"lang_{q}") for q in ("q1", "q3", "q9")]
     )
     both = own_q.join(lang_q, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("k")))
-    q1, q3 = (F.when(F.col("n") >= rules.min_docs, F.col(q)).otherwise(F.col(f"lang_{q}")) for q in ("q1", "q3"))
-    floor = F.create_map(*[F.lit(x) for pair in MEASURES.items() for x in pair])[F.col("measure")]
-    gap = F.lit(rules.spread) * F.greatest(q3 - q1, floor.cast("long"))
+    q1, q3, q9 = (F.when(F.col("n") >= rules.min_docs, F.col(q)).otherwise(F.col(f"lang_{q}")) for q in ("q1", "q3", "q9"))
+    if rules.floors is None:
+        least = q9 - q3
+    else:
+        least = F.create_map(*[F.lit(x) for pair in rules.floors.items() for x in pair])[F.col("measure")].cast("long")
+    gap = F.lit(rules.spread) * F.greatest(q3 - q1, least)
     rows = both.select("lang", "source", "measure", (q3 + gap).alias("most"), (q1 - gap).alias("least"))
     at = lambda k, c: F.max(F.when(F.col("measure") == k, F.col(c))).alias(f"{k}_{c}")
     return rows.groupBy("lang", "source").agg(*[at(k, "most") for k in MEASURES], at("word_length", "least"))
@@ -177,7 +196,7 @@ def verdict(measured: DataFrame, fences: DataFrame, m: str, lang: str, source: s
         joined = salted.join(f, on & (F.col(salt) == F.col(f"{salt}f")), "left")
     own, bad = measures(m), F.lit(False)
     for k in MEASURES:
-        bad = bad | F.coalesce(own[k] > F.col(f"{name}.{k}_most"), F.lit(False))
+        bad = bad | F.coalesce(own[k] > F.col(f"{name}.{k}_most") + slack(k, m, rules), F.lit(False))
     bad = bad | F.coalesce(own["word_length"] < F.col(f"{name}.word_length_least"), F.lit(False))
     failed = base_failed(m, rules)
     return joined.select(
@@ -205,7 +224,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every row of ``documents``; the text is measured once and not carried along."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    rules, stash = Rules(), Stash(spark)
+    rules, stash = Rules(floors=MEASURES), Stash(spark)
     measured = stash.put(measure(docs, "text", "m").drop("text"))
     fences = stash.put(thresholds(measured, "m", "lang", "source", rules))
     return verdict(measured, fences, "m", "lang", "source", rules).select(

@@ -58,3 +58,15 @@ def test_rules(spark):
         assert {x["doc_id"] for x in judged.filter(f"{m}.base_failed").collect()} == {201, 202, 203}
     out = q.stage(spark, docs, "")
     assert out.columns == docs.columns and q.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_sketch_sets_the_fence(spark):
+    """Where nearly all documents have no symbols, 5 % of them are too many; where a tenth has 5 %, they are usual."""
+    r = random.Random(5)
+    marked = lambda k: "$" * k + prose(r)  # about 600 characters
+    rows = [(i, prose(r), "en", "plain") for i in range(200)] + [(300 + i, marked(30), "en", "plain") for i in range(8)] + [(400, marked(3), "en", "plain")]
+    rows += [(1000 + i, prose(r) if i % 5 else marked(30), "en", "marked") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {x["doc_id"] for x in q.stage(spark, docs, "").collect()}
+    assert kept & set(range(300, 308)) == set()
+    assert kept >= {*range(200), 400, *range(1000, 1200)}
