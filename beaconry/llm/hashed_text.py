@@ -31,7 +31,9 @@ class Training:
     rate: float = 0.1
     #: Price of a weight's size (an L1 penalty): words that don't help get none.
     sparsity: float = 1e-3
-    #: Texts that must share a slot: this many, and one in 200.
+    #: The price in rows, where that is less: as a fixed prior, it weighs less the more rows there are.
+    evidence: float = 0.8
+    #: Texts that must share a slot, however many there are.
     least: int = 3
 
 
@@ -98,8 +100,9 @@ def spread(w: np.ndarray, slots: np.ndarray) -> np.ndarray:
     return out
 
 
-def _adam(x: list[np.ndarray], gradient, t: Training) -> list[np.ndarray]:
+def _adam(x: list[np.ndarray], gradient, n: int, t: Training) -> list[np.ndarray]:
     """Full-batch Adam; the weights (the first of ``x``) shrink towards 0 after each step, so most end there."""
+    price = min(t.sparsity, t.evidence / n)
     m, v = [np.zeros_like(s) for s in x], [np.zeros_like(s) for s in x]
     for i in range(1, t.rounds + 1):
         for j, g in enumerate(gradient(x)):
@@ -108,7 +111,7 @@ def _adam(x: list[np.ndarray], gradient, t: Training) -> list[np.ndarray]:
             step = t.rate / (np.sqrt(v[j] / (1 - 0.999**i)) + 1e-8)
             x[j] = x[j] - step * m[j] / (1 - 0.9**i)
             if j == 0:
-                x[j] = np.sign(x[j]) * np.maximum(np.abs(x[j]) - step * t.sparsity, 0.0)
+                x[j] = np.sign(x[j]) * np.maximum(np.abs(x[j]) - step * price, 0.0)
     return x
 
 
@@ -119,7 +122,7 @@ def sigmoid(x):
 def fit_softmax(rows: Rows, y: np.ndarray, classes: int, t: Training) -> tuple[np.ndarray, np.ndarray]:
     """Weights (classes x DIM) and offsets of a multinomial regression."""
     n = max(1, len(y))
-    rows, slots = rows.common(max(t.least, n // 200))
+    rows, slots = rows.common(t.least)
     prior = np.log((np.bincount(y, minlength=classes) + 1) / (len(y) + classes))
 
     def gradient(x):
@@ -128,7 +131,7 @@ def fit_softmax(rows: Rows, y: np.ndarray, classes: int, t: Training) -> tuple[n
         e[np.arange(len(y)), y] -= 1
         return [np.stack([rows.back(e[:, k]) for k in range(classes)]) / n, e.sum(axis=0) / n]
 
-    w, b = _adam([np.zeros((classes, rows.width)), prior], gradient, t)
+    w, b = _adam([np.zeros((classes, rows.width)), prior], gradient, n, t)
     return spread(w, slots), b
 
 
@@ -141,7 +144,7 @@ def probabilities(rows: Rows, w: np.ndarray, b: np.ndarray) -> np.ndarray:
 def fit_ordinal(rows: Rows, y: np.ndarray, grades: int, t: Training) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and increasing thresholds: P(grade <= k) = sigmoid(threshold_k - w.x)."""
     n = max(1, len(y))
-    rows, slots = rows.common(max(t.least, n // 200))
+    rows, slots = rows.common(t.least)
     share = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / n, 0.01, 0.99)
     first = np.log(share / (1 - share))
     gaps = np.log(np.maximum(np.diff(first), 0.05))
@@ -160,7 +163,7 @@ def fit_ordinal(rows: Rows, y: np.ndarray, grades: int, t: Training) -> tuple[np
         ga = np.concatenate([[by_cut.sum()], np.exp(a[1:]) * np.cumsum(by_cut[::-1])[::-1][1:]])
         return [rows.back(dh - dl) / n, ga]
 
-    w, a = _adam([np.zeros(rows.width), np.concatenate([first[:1], gaps])], gradient, t)
+    w, a = _adam([np.zeros(rows.width), np.concatenate([first[:1], gaps])], gradient, n, t)
     return spread(w, slots), cuts(a)
 
 

@@ -81,3 +81,21 @@ def test_rates_solve_least_squares(spark):
             plain = np.maximum(0, plain - p @ (weight @ ((t * plain) @ p - goal)))
         r = mixing.rates(p, mixing.solve(members, mixing.Params(targets=dict(zip("abc", shares)), rounds=100)))
         assert (r >= 0).all() and miss(r) <= miss(plain) + near * miss(np.ones(60))
+
+
+def test_rare_words_count():
+    """Words that five of 1,500 training rows share are learned by both fits."""
+    r = random.Random(8)
+    markers = [f"vile{i}" for i in range(30)]
+
+    def draw(n):
+        bad = [i % 10 == 0 for i in range(n)]
+        return h.Rows([" ".join(r.choices([f"w{i}" for i in range(300)], k=20) + [markers[i // 10 % 30]] * b) for i, b in enumerate(bad)]), np.array(bad)
+
+    (rows, bad), (held, out) = draw(1500), draw(600)
+    w, cuts = h.fit_ordinal(rows, 2 - bad.astype(int), 3, h.Training())
+    kept = h.tails(held, w, cuts)[:, -1] >= 0.5
+    w, b = h.fit_softmax(rows, bad.astype(int), 2, mixing.Params().training)
+    toxic = h.probabilities(held, w, b)[:, 1] >= 0.5
+    for found in (~kept, toxic):
+        assert found[out].mean() > 0.8 and found[~out].mean() < 0.05
