@@ -87,10 +87,13 @@ def report(differences: DataFrame, max_report: int = 0) -> list[str]:
     return out + ([f"... {rest} more differences suppressed"] if rest else [])
 
 
-def records_equal(left: DataFrame, right: DataFrame, ignore_redaction: bool = False, on=("record_index",)) -> DataFrame:
-    """``on..., equal`` for each pair."""
+def records_equal(left: DataFrame, right: DataFrame, ignore_redaction: bool = False, on=("record_index",), missing: bool = False) -> DataFrame:
+    """``on..., equal`` for each pair; with ``missing`` also for records on one side only, which equal nothing."""
     a, b = (d.select(*on, F.struct(*_BODY).alias(n)) for d, n in ((left, "a"), (right, "b")))
-    return a.join(b, list(on)).select(*on, _why("a", "b", ignore_redaction).isNull().alias("equal"))
+    equal = _why("a", "b", ignore_redaction).isNull()
+    if missing:
+        equal = F.col("a").isNotNull() & F.col("b").isNotNull() & equal
+    return a.join(b, list(on), "full_outer" if missing else "inner").select(*on, equal.alias("equal"))
 
 
 def identity() -> Column:

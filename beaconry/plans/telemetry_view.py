@@ -1,7 +1,9 @@
 """The driver's tables as telemetry records, in Spark and as a SQL prefix for the oracle.
 
 Each table is a block; a record's index is its block and its key within the block, so indexes are unique and
-ordered without a global window. Events are block 0, and their index is the event id.
+ordered without a global window. Events are block 0, and their index is the event id. A document is one DIAG
+record for every ``CHUNK`` characters of its whole text (a payload has at most 65,535 bytes), an embedding one
+SENSOR record of all its values; every seventh document and every fifth vector adds an empty record.
 """
 
 from __future__ import annotations
@@ -11,7 +13,11 @@ from pyspark.sql import functions as F
 
 from ..functions.schema import KINDS, NAMES, TAGS, empty_kind
 
-BLOCK = 1 << 40
+BLOCK = 1 << 56
+#: Characters of a text in one record: four bytes each stay below the format's limit.
+CHUNK = 16_000
+#: Place of a document's empty record, behind all of its chunks.
+EMPTY = 65_535
 COLUMNS = ["path", "section_index", "section_type", "codec_id", "record_in_sec", "record_index", "tag", "type", *KINDS]
 
 
@@ -39,8 +45,8 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     kinds = {
         "heartbeat": at("signup", struct(uptime_s=f"timestampdiff(SECOND, {start}, ts)", seq="event_id % 500")),
         "log": at("error", struct(severity=f"{k} % 8", msg=f"cast(case when {k} % 11 = 0 then '' else props end as binary)")),
-        "net": at("click", struct(iface_id="user_id % 250", rx_bytes="cast(round(value * 100) as bigint)", tx_bytes="event_id", rx_pkts=f"{k} % 5", tx_pkts=f"{k} % 3")),
-        "geo": at("view", struct(lat_e7=f"({k} - 50) * 20000000", lon_e7="(user_id - 75) * 25000000", alt_mm="cast(round(value * 100) as bigint)")),
+        "net": at("click", struct(iface_id="user_id % 250", rx_bytes="cast(round(value * 100) as bigint)", tx_bytes="event_id % 4294967296", rx_pkts=f"{k} % 5", tx_pkts=f"{k} % 3")),
+        "geo": at("view", struct(lat_e7=f"({k} - 50) * 20000000", lon_e7="(user_id % 151 - 75) * 25000000", alt_mm="cast(round(value * 100) as bigint)")),
         "battery": at("purchase", struct(pct=f"{k} + 20", temp_c_e1=f"{k} - 40", cycles="user_id")),
     }
     tag = F.lit(None)
@@ -51,7 +57,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sensors(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return records(e, "embeddings", 1, F.col("vec_id"), {"sensor": struct(sensor_id="label", samples="slice(embedding, 1, cast(vec_id % 5 as int))")})
+    e = e.withColumn("empty", F.explode(F.expr("if(vec_id % 5 = 0, array(0, 1), array(0))")))
+    samples = "if(empty = 1, cast(array() as array<float>), coalesce(embedding, cast(array() as array<float>)))"
+    return records(e, "embeddings", 1, F.expr("vec_id * 2 + empty"), {"sensor": struct(sensor_id="label", samples=samples)})
 
 
 def configs(spark, sf_dir):
@@ -66,9 +74,12 @@ def event_codes(spark, sf_dir):
     return records(e, "orders", 3, F.col("o_orderkey"), {"event": struct(code="o_custkey % 65536", payload="cast(case when o_custkey % 10 = 0 then '' else o_orderpriority end as binary)")})
 
 
-def diags(spark, sf_dir):
+def diags(spark, sf_dir, chunk=CHUNK):
     e = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return records(e, "documents", 4, F.col("doc_id"), {"diag": struct(subsystem="case when lang = 'en' then 0 else 65280 end + doc_id % 256", blob="cast(case when doc_id % 7 = 0 then '' else left(text, 16) end as binary)", redacted="false")})
+    parts = f"sequence(0, cast(greatest(ceil(coalesce(length(text), 0) / {chunk}), 1) - 1 as int))"
+    e = e.withColumn("part", F.explode(F.expr(f"if(doc_id % 7 = 0, array_append({parts}, {EMPTY}), {parts})")))
+    blob = f"cast(if(part = {EMPTY}, '', substring(coalesce(text, ''), part * {chunk} + 1, {chunk})) as binary)"
+    return records(e, "documents", 4, F.expr("doc_id * 65536 + part"), {"diag": struct(subsystem="case when lang = 'en' then 0 else 65280 end + doc_id % 256", blob=blob, redacted="false")})
 
 
 def keyrefs(spark, sf_dir):
@@ -81,30 +92,34 @@ def firmwares(spark, sf_dir):
     return records(e, "nation", 6, F.col("n_nationkey"), {"firmware": struct(major="n_regionkey", minor="n_nationkey", patch="n_nationkey % 3", hash="cast(rpad(left(n_name, 8), 8, ' ') as binary)")})
 
 
-def all_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = events(spark, sf_dir)
-    for part in (sensors, configs, event_codes, diags, keyrefs, firmwares):
+def all_records(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:
+    out = events(spark, sf_dir).unionByName(diags(spark, sf_dir, chunk))
+    for part in (sensors, configs, event_codes, keyrefs, firmwares):
         out = out.unionByName(part(spark, sf_dir))
     return out
 
 
-#: The same records, flat; byte strings as lower-case hex.
-SQL = f"""
+def sql(chunk: int = CHUNK) -> str:
+    """The same records, flat, as common table expressions that end with ``rec``."""
+    return f"""
 WITH ev AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events),
 flat AS (
 SELECT event_id AS record_index, CASE event_type WHEN 'signup' THEN 16 WHEN 'error' THEN 23 WHEN 'click' THEN 22 WHEN 'view' THEN 20 WHEN 'purchase' THEN 21 END AS tag,
   CASE WHEN event_type = 'signup' THEN CAST(floor(epoch(ts) - 1704067200) AS BIGINT) END AS uptime_s, CASE WHEN event_type = 'signup' THEN event_id % 500 END AS seq,
   CASE WHEN event_type = 'error' THEN k % 8 END AS severity, CASE WHEN event_type = 'error' THEN CASE WHEN k % 11 = 0 THEN '' ELSE props END END AS msg,
   CASE WHEN event_type = 'click' THEN user_id % 250 END AS iface_id, CASE WHEN event_type = 'click' THEN CAST(round(value * 100) AS BIGINT) END AS rx_bytes,
-  CASE WHEN event_type = 'click' THEN event_id END AS tx_bytes, CASE WHEN event_type = 'click' THEN k % 5 END AS rx_pkts, CASE WHEN event_type = 'click' THEN k % 3 END AS tx_pkts,
-  CASE WHEN event_type = 'view' THEN (k - 50) * 20000000 END AS lat_e7, CASE WHEN event_type = 'view' THEN (user_id - 75) * 25000000 END AS lon_e7, CASE WHEN event_type = 'view' THEN CAST(round(value * 100) AS BIGINT) END AS alt_mm,
+  CASE WHEN event_type = 'click' THEN event_id % 4294967296 END AS tx_bytes, CASE WHEN event_type = 'click' THEN k % 5 END AS rx_pkts, CASE WHEN event_type = 'click' THEN k % 3 END AS tx_pkts,
+  CASE WHEN event_type = 'view' THEN (k - 50) * 20000000 END AS lat_e7, CASE WHEN event_type = 'view' THEN (user_id % 151 - 75) * 25000000 END AS lon_e7, CASE WHEN event_type = 'view' THEN CAST(round(value * 100) AS BIGINT) END AS alt_mm,
   CASE WHEN event_type = 'purchase' THEN k + 20 END AS pct, CASE WHEN event_type = 'purchase' THEN k - 40 END AS temp_c_e1, CASE WHEN event_type = 'purchase' THEN user_id END AS cycles,
   NULL::BIGINT AS sensor_id, NULL::FLOAT[] AS samples, NULL::VARCHAR AS k0, NULL::VARCHAR AS v0, NULL::VARCHAR AS v1, NULL::BIGINT AS code, NULL::VARCHAR AS payload, NULL::BIGINT AS subsystem, NULL::VARCHAR AS blob,
   NULL::BIGINT AS slot_id, NULL::VARCHAR AS label, NULL::BIGINT AS major, NULL::BIGINT AS minor, NULL::BIGINT AS patch, NULL::VARCHAR AS hash FROM ev
-UNION ALL BY NAME SELECT {BLOCK} + vec_id AS record_index, 17 AS tag, CAST(label AS BIGINT) AS sensor_id, embedding[1:vec_id % 5] AS samples FROM embeddings
+UNION ALL BY NAME SELECT {BLOCK} + vec_id * 2 + e AS record_index, 17 AS tag, CAST(label AS BIGINT) AS sensor_id, CASE WHEN e = 1 THEN [] ELSE coalesce(embedding, []) END AS samples
+  FROM (SELECT *, unnest(CASE WHEN vec_id % 5 = 0 THEN [0, 1] ELSE [0] END) AS e FROM embeddings)
 UNION ALL BY NAME SELECT {2 * BLOCK} + p_partkey AS record_index, 24 AS tag, CASE WHEN p_size % 10 = 0 THEN '' ELSE 'brand' END AS k0, p_brand AS v0, p_type AS v1 FROM part
 UNION ALL BY NAME SELECT {3 * BLOCK} + o_orderkey AS record_index, 18 AS tag, o_custkey % 65536 AS code, CASE WHEN o_custkey % 10 = 0 THEN '' ELSE o_orderpriority END AS payload FROM orders
-UNION ALL BY NAME SELECT {4 * BLOCK} + doc_id AS record_index, 19 AS tag, CASE WHEN lang = 'en' THEN 0 ELSE 65280 END + doc_id % 256 AS subsystem, CASE WHEN doc_id % 7 = 0 THEN '' ELSE left(text, 16) END AS blob FROM documents
+UNION ALL BY NAME SELECT {4 * BLOCK} + doc_id * 65536 + p AS record_index, 19 AS tag, CASE WHEN lang = 'en' THEN 0 ELSE 65280 END + doc_id % 256 AS subsystem,
+  CASE WHEN p = {EMPTY} THEN '' ELSE substr(coalesce(text, ''), p * {chunk} + 1, {chunk}) END AS blob
+  FROM (SELECT *, unnest(list_concat(range(0, greatest((coalesce(length(text), 0) + {chunk - 1}) // {chunk}, 1)), CASE WHEN doc_id % 7 = 0 THEN [{EMPTY}] ELSE [] END)) AS p FROM documents)
 UNION ALL BY NAME SELECT {5 * BLOCK} + s_suppkey AS record_index, 25 AS tag, s_suppkey % 8 AS slot_id, s_name AS label FROM supplier
 UNION ALL BY NAME SELECT {6 * BLOCK} + n_nationkey AS record_index, 26 AS tag, CAST(n_regionkey AS BIGINT) AS major, CAST(n_nationkey AS BIGINT) AS minor, CAST(n_nationkey % 3 AS BIGINT) AS patch, rpad(left(n_name, 8), 8, ' ') AS hash FROM nation),
 rec AS (SELECT *, CASE tag {' '.join(f"WHEN {t} THEN '{n}'" for n, t in TAGS.items())} END AS type FROM flat)
