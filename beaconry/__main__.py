@@ -3,15 +3,22 @@
 from __future__ import annotations
 
 import argparse
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .functions import codecs, text
+from pyspark.sql import functions as F
+
+from .functions import codecs, text, wire
 from .functions.schema import TelemetryError
 from .operators import compare, ranking, redact, stats, timeline, validate
 from .plans import dsl
-from .sources import readers, writers
+from .sources import corpus, readers, writers
+
+
+#: Bytes of a key's seed at most.
+MOST_SEED = 4096
 
 
 def _session() -> SparkSession:
@@ -31,10 +38,11 @@ def _parser() -> argparse.ArgumentParser:
         for o, how in options.items():
             v.add_argument(f"--{o.replace('_', '-')}", **how)
 
-    hexed = {"type": bytes.fromhex, "default": None}
+    hexed = {"type": bytes.fromhex, "default": None, "help": "the key, in hex"}
+    seeded = {"type": str.encode, "default": None, "help": "derive the key from this text"}
     for name in ("decode", "dump", "stats", "index", "validate"):
         verb(name, "path")
-    verb("verify", "path", key=hexed)
+    verb("verify", "path", key=hexed, seed=seeded)
     verb("query", "expr", "path")
     verb("select", "expr", "path", "out")
     verb("export", "path", "format")
@@ -47,7 +55,9 @@ def _parser() -> argparse.ArgumentParser:
     verb("timeline", "path", expected={"type": int, "default": 0}, tolerance={"type": int, "default": 0})
     verb("topk", "path", "field", n={"type": int, "default": 10})
     verb("sample", "path", "out", n={"type": int, "default": 0}, seed={"type": int, "default": 0})
-    verb("sign", "path", "out", key=hexed | {"required": True})
+    verb("sign", "path", "out", key=hexed, seed=seeded)
+    verb("make-key", "seed", hex={"action": "store_true"})
+    verb("generate", "seed", "out")
     return p
 
 
@@ -70,21 +80,25 @@ def _stats_lines(scan: readers.Scan) -> list[str]:
 
 
 def run(a: argparse.Namespace, spark: SparkSession) -> int:
-    read = lambda path=None, mode="permissive": readers.read_dtl(spark, path or a.path, mode)
+    read = lambda path=None, mode="permissive": readers.read_dtl(spark, path or a.path, mode, keep=True)
     records = lambda: _whole(read())
     v = a.verb
     if v in ("decode", "query"):
         if v == "query":
             dsl.parse(a.expr)  # a bad expression wins over a missing file
-        rows = redact.redact_keystore(read(mode="failfast").records)
+        scan = read(mode="stop")
+        rows = redact.redact_keystore(scan.records)
         _show(_lines(writers.printed_lines(rows.filter(dsl.predicate(a.expr)) if v == "query" else rows)))
+        fault = scan.errors.first()
+        if fault:  # what came before it is printed
+            raise TelemetryError(fault["error"])
     elif v == "dump":
+        h = readers.read_headers(spark, a.path).first()
         s = readers.read_sections(spark, a.path).orderBy("section_index").collect()
-        if s:
-            print(f"version={s[0]['version']} flags=0x{s[0]['flags']:02x} sections={len(s)} hmac={'yes' if s[0]['has_mac'] else 'no'}")
+        print(f"version={h['version']} flags=0x{h['flags']:02x} sections={h['sections']} hmac={'yes' if h['has_mac'] else 'no'}")
         _show(f"section {r['section_index']}: type={r['section_type']} codec={r['codec_id']} raw={r['raw_len']} comp={r['comp_len']} offset={r['offset']}" for r in s)
     elif v == "verify":
-        verdict = readers.verify(spark, a.path, a.key).first()["verdict"]
+        verdict = readers.verify(spark, a.path, _key(a)).first()["verdict"]
         print(f"verify: {verdict}")
         return 0 if verdict in ("OK", "no-hmac") else 1
     elif v == "stats":
@@ -109,7 +123,7 @@ def run(a: argparse.Namespace, spark: SparkSession) -> int:
         return int(bool(lines))
     elif v == "merge":
         m = writers.merged([_whole(read(x)) for x in a.paths])
-        writers.write_files(writers.containers(m, order=("input_ord", "record_index")), a.out)
+        _write(a, m, order=("input_ord", "record_index"))
     elif v == "split":
         writers.write_files(writers.containers(writers.split(records(), a.prefix), order=("record_index",)), a.out)
     elif v == "repack":
@@ -133,7 +147,20 @@ def run(a: argparse.Namespace, spark: SparkSession) -> int:
         _write(a, taken)
         print(f"sample: took {taken.count()}")
     elif v == "sign":
-        _write(a, records(), key=a.key)
+        key = _key(a)
+        if key is None:
+            raise TelemetryError("INVAL", "a key or a seed is needed")
+        _write(a, records(), key=key)
+    elif v == "make-key":
+        seed = bytes.fromhex(a.seed) if a.hex else a.seed.encode()
+        if not 0 < len(seed) <= MOST_SEED:
+            raise TelemetryError("INVAL", "seed")
+        print(wire.derive_key(seed).hex())
+    elif v == "generate":
+        n = int(a.seed) % (1 << 32)
+        folder, name = _place(a.out)
+        writers.write_files(corpus.generate(spark, n, 1, name), folder)
+        print(f"generate: wrote {a.out} ({len(corpus.corpus_container(n))} bytes, seed={n})")
     return 0
 
 
@@ -145,8 +172,23 @@ def _whole(scan: readers.Scan) -> DataFrame:
     return scan.records
 
 
+def _key(a) -> bytes | None:
+    return a.key if a.seed is None else wire.derive_key(a.seed)
+
+
+def _place(out: str) -> tuple[str, str]:
+    """Folder and name of an output file."""
+    folder, name = out.rsplit("/", 1) if "/" in out else (".", out)
+    return folder if "://" in folder else os.path.abspath(folder), name
+
+
 def _write(a, records: DataFrame, **how) -> None:
-    writers.write_files(writers.containers(records, **how), a.out)
+    """All records as the one container that ``out`` names."""
+    folder, name = _place(a.out)
+    made = writers.containers(records.withColumn("path", F.lit(name)), **how)
+    if not writers.write_files(made, folder):  # no records: a container without sections
+        empty = records.sparkSession.createDataFrame([(name, wire.build_container([], how.get("key")))], "path string, content binary")
+        writers.write_files(empty, folder)
 
 
 def main(argv: list[str] | None = None) -> int:

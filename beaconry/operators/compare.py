@@ -117,9 +117,9 @@ def dedup(records: DataFrame, key: Column | None = None, order=("path", "record_
     repeated record is no hot task; the records then meet their first places in a join.
     """
     place = F.struct(*order)
-    # two independent 64-bit hashes stand for the identity: 128 bits
+    # two 64-bit hashes with different seeds stand for the identity: 128 bits
     identity_ = key if key is not None else identity()
-    hashed = records.withColumn("__h", F.struct(F.xxhash64(identity_).alias("a"), F.conv(F.substring(F.md5(F.to_json(identity_)), 1, 15), 16, 10).cast("long").alias("b")))
+    hashed = records.select(*stream, *order, F.struct(F.xxhash64(identity_).alias("a"), F.xxhash64(F.lit(1), identity_).alias("b")).alias("__h"))
     firsts = hashed.groupBy(*stream, "__h").agg(F.min(place).alias("__first")).select(F.col("__first").alias("__place"))
     return records.withColumn("__place", place).join(firsts, "__place", "left_semi").drop("__place")
 

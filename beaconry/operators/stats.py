@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Label and value of each summary; sensor.value takes every sample, the others one value per record.
@@ -14,23 +14,21 @@ SUMMARIES: dict[str, str] = {
 }
 
 
-def _parts(label: str) -> list[Column]:
-    """n, min, max and sum of one summary; a record's samples are folded before the aggregation, without an explode."""
-    if label != "sensor.value":
-        v = F.expr(SUMMARIES[label]).cast("double")
-        return [F.count(v), F.min(v), F.max(v), F.sum(v)]
-    s = F.col("sensor.samples")
-    total = F.aggregate(s, F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return [F.coalesce(F.sum(F.size(s)).cast("long"), F.lit(0)), F.min(F.array_min(s)).cast("double"), F.max(F.array_max(s)).cast("double"), F.sum(F.when(F.size(s) > 0, total))]
+def _parts(label: str) -> str:
+    """SQL of one summary's struct; a record's samples are folded before the aggregation, without an explode."""
+    v = f"cast({SUMMARIES[label]} as double)"
+    n, low, high, total = f"count({v})", f"min({v})", f"max({v})", f"sum({v})"
+    if label == "sensor.value":
+        s = SUMMARIES[label]
+        n, low, high = f"coalesce(sum(cast(size({s}) as bigint)), 0L)", f"cast(min(array_min({s})) as double)", f"cast(max(array_max({s})) as double)"
+        total = f"sum(if(size({s}) > 0, aggregate({s}, 0D, (a, x) -> a + cast(x as double)), null))"
+    return f"named_struct('label', '{label}', 'n', {n}, 'min', {low}, 'max', {high}, 'sum', {total})"
 
 
 def numeric(records: DataFrame) -> DataFrame:
     """``label, n, min, max, avg, sum`` of every summary with values: one pass, one row per task shuffled."""
-    names = list(SUMMARIES)
-    wide = records.agg(*[F.struct(*[c.alias(k) for c, k in zip(_parts(x), ("n", "min", "max", "sum"))]).alias(f"s{i}") for i, x in enumerate(names)])
-    rows = F.array(*[F.struct(F.lit(i).alias("ord"), F.lit(x).alias("label"), F.col(f"s{i}").alias("v")) for i, x in enumerate(names)])
-    out = wide.select(F.explode(rows).alias("r")).select("r.label", F.col("r.v.n").alias("n"), F.col("r.v.min").alias("min"), F.col("r.v.max").alias("max"), F.col("r.v.sum").alias("sum"))
-    return out.filter("n > 0").select("label", "n", "min", "max", (F.col("sum") / F.col("n")).alias("avg"), "sum")
+    wide = records.agg(F.expr(f"array({', '.join(map(_parts, SUMMARIES))})").alias("rows"))
+    return wide.selectExpr("inline(rows)").filter("n > 0").selectExpr("label", "n", "min", "max", "sum / n as avg", "sum")
 
 
 def by_type(records: DataFrame) -> DataFrame:

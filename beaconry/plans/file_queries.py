@@ -108,7 +108,7 @@ def _words(codec: int) -> None:
     @query(f"WITH w AS (SELECT event_id // 400 AS g, event_id % 400 AS i, {_le('user_id', 4)} || {_le('event_id', 4)} AS h FROM events) SELECT 'w' || g AS path, CAST(i AS BIGINT) AS record_in_sec, CAST(16 AS BIGINT) AS tag, md5(h) AS payload FROM w", f"repack_roundtrip_{codecs.CODECS[codec]}")
     def run(spark, sf_dir):
         e = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id IS NOT NULL")
-        beats = view.records(e, "w", 0, F.col("event_id"), {"heartbeat": view.struct(uptime_s="user_id", seq="event_id")})
+        beats = view.records(e, "w", 0, "event_id", {"heartbeat": view.struct(uptime_s="user_id", seq="event_id")})
         beats = beats.withColumn("path", F.concat(F.lit("w"), F.expr("record_index div 400")))
         whole = F.count(F.lit(1)).over(Window.partitionBy("path")) % 4 == 0
         beats = beats.withColumn("codec_id", F.when(whole, codec).otherwise(0).cast("smallint"))

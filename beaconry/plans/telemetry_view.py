@@ -8,10 +8,10 @@ SENSOR record of all its values; every seventh document and every fifth vector a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.schema import KINDS, NAMES, TAGS, empty_kind
+from ..functions.schema import KINDS, NAMES, TAGS
 
 BLOCK = 1 << 56
 #: Characters of a text in one record: four bytes each stay below the format's limit.
@@ -21,27 +21,27 @@ EMPTY = 65_535
 COLUMNS = ["path", "section_index", "section_type", "codec_id", "record_in_sec", "record_index", "tag", "type", *KINDS]
 
 
-def records(df: DataFrame, path: str, block: int, key: Column, kinds: dict[str, Column], tag: Column | None = None) -> DataFrame:
-    """``df``'s rows as records; kinds: struct columns, of which one is set per row."""
-    if tag is None:
-        tag = F.lit(TAGS[next(iter(kinds)).upper()])
-    name = F.element_at(F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair]), tag)
-    return df.select(
-        F.lit(path).alias("path"), F.lit(block).alias("section_index"), F.lit(1).alias("section_type"), F.lit(0).cast("smallint").alias("codec_id"),
-        key.cast("long").alias("record_in_sec"), (F.lit(block * BLOCK) + key).cast("long").alias("record_index"), tag.cast("smallint").alias("tag"), name.alias("type"),
-        *[(kinds[k].cast(KINDS[k]) if k in kinds else empty_kind(k)).alias(k) for k in KINDS],
+_NAME = "case {} " + " ".join(f"when {t} then '{n}'" for t, n in NAMES.items()) + " end"
+
+
+def records(df: DataFrame, path: str, block: int, key: str, kinds: dict[str, str], tag: str | None = None) -> DataFrame:
+    """``df``'s rows as records; key and kinds are SQL, the kinds structs of which one is set per row."""
+    tag = tag or str(TAGS[next(iter(kinds)).upper()])
+    return df.selectExpr(
+        f"'{path}' as path", f"{block} as section_index", "1 as section_type", "0S as codec_id", f"cast({key} as bigint) as record_in_sec", f"cast({block * BLOCK} + {key} as bigint) as record_index",
+        f"cast({tag} as smallint) as tag", f"{_NAME.format(tag)} as type", *[f"cast({kinds.get(k, 'null')} as {ddl}) as {k}" for k, ddl in KINDS.items()],
     )
 
 
-def struct(**fields: str) -> Column:
-    return F.struct(*[F.expr(v).alias(k) for k, v in fields.items()])
+def struct(**fields: str) -> str:
+    return f"named_struct({', '.join(f"'{k}', {v}" for k, v in fields.items())})"
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = spark.read.parquet(f"{sf_dir}/events.parquet")
     k = "cast(get_json_object(props, '$.k') as bigint)"
     start = "timestamp_ntz'2024-01-01 00:00:00'" if dict(e.dtypes)["ts"] == "timestamp_ntz" else "timestamp'2024-01-01 00:00:00'"
-    at = lambda kind, s: F.when(F.col("event_type") == kind, s)
+    at = lambda kind, s: f"case when event_type = '{kind}' then {s} end"
     kinds = {
         "heartbeat": at("signup", struct(uptime_s=f"timestampdiff(SECOND, {start}, ts)", seq="event_id % 500")),
         "log": at("error", struct(severity=f"{k} % 8", msg=f"cast(case when {k} % 11 = 0 then '' else props end as binary)")),
@@ -49,29 +49,27 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "geo": at("view", struct(lat_e7=f"({k} - 50) * 20000000", lon_e7="(user_id % 151 - 75) * 25000000", alt_mm="cast(round(value * 100) as bigint)")),
         "battery": at("purchase", struct(pct=f"{k} + 20", temp_c_e1=f"{k} - 40", cycles="user_id")),
     }
-    tag = F.lit(None)
-    for kind, name in (("signup", "HEARTBEAT"), ("error", "LOG"), ("click", "NET"), ("view", "GEO"), ("purchase", "BATTERY")):
-        tag = F.when(F.col("event_type") == kind, TAGS[name]).otherwise(tag)
-    return records(e, "events", 0, F.col("event_id"), kinds, tag)
+    names = (("signup", "HEARTBEAT"), ("error", "LOG"), ("click", "NET"), ("view", "GEO"), ("purchase", "BATTERY"))
+    return records(e, "events", 0, "event_id", kinds, f"case event_type {' '.join(f"when '{kind}' then {TAGS[name]}" for kind, name in names)} end")
 
 
 def sensors(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     e = e.withColumn("empty", F.explode(F.expr("if(vec_id % 5 = 0, array(0, 1), array(0))")))
     samples = "if(empty = 1, cast(array() as array<float>), coalesce(embedding, cast(array() as array<float>)))"
-    return records(e, "embeddings", 1, F.expr("vec_id * 2 + empty"), {"sensor": struct(sensor_id="label", samples=samples)})
+    return records(e, "embeddings", 1, "(vec_id * 2 + empty)", {"sensor": struct(sensor_id="label", samples=samples)})
 
 
 def configs(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/part.parquet")
     pair = "named_struct('key', cast({} as binary), 'value', cast({} as binary))"
     pairs = f"array({pair.format("case when p_size % 10 = 0 then '' else 'brand' end", 'p_brand')}, {pair.format("'type'", 'p_type')})"
-    return records(e, "part", 2, F.col("p_partkey"), {"config": struct(pairs=pairs)})
+    return records(e, "part", 2, "p_partkey", {"config": struct(pairs=pairs)})
 
 
 def event_codes(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    return records(e, "orders", 3, F.col("o_orderkey"), {"event": struct(code="o_custkey % 65536", payload="cast(case when o_custkey % 10 = 0 then '' else o_orderpriority end as binary)")})
+    return records(e, "orders", 3, "o_orderkey", {"event": struct(code="o_custkey % 65536", payload="cast(case when o_custkey % 10 = 0 then '' else o_orderpriority end as binary)")})
 
 
 def diags(spark, sf_dir, chunk=CHUNK):
@@ -79,17 +77,17 @@ def diags(spark, sf_dir, chunk=CHUNK):
     parts = f"sequence(0, cast(greatest(ceil(coalesce(length(text), 0) / {chunk}), 1) - 1 as int))"
     e = e.withColumn("part", F.explode(F.expr(f"if(doc_id % 7 = 0, array_append({parts}, {EMPTY}), {parts})")))
     blob = f"cast(if(part = {EMPTY}, '', substring(coalesce(text, ''), part * {chunk} + 1, {chunk})) as binary)"
-    return records(e, "documents", 4, F.expr("doc_id * 65536 + part"), {"diag": struct(subsystem="case when lang = 'en' then 0 else 65280 end + doc_id % 256", blob=blob, redacted="false")})
+    return records(e, "documents", 4, "(doc_id * 65536 + part)", {"diag": struct(subsystem="case when lang = 'en' then 0 else 65280 end + doc_id % 256", blob=blob, redacted="false")})
 
 
 def keyrefs(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    return records(e, "supplier", 5, F.col("s_suppkey"), {"keyref": struct(slot_id="s_suppkey % 8", label="cast(s_name as binary)", redacted="false")})
+    return records(e, "supplier", 5, "s_suppkey", {"keyref": struct(slot_id="s_suppkey % 8", label="cast(s_name as binary)", redacted="false")})
 
 
 def firmwares(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return records(e, "nation", 6, F.col("n_nationkey"), {"firmware": struct(major="n_regionkey", minor="n_nationkey", patch="n_nationkey % 3", hash="cast(rpad(left(n_name, 8), 8, ' ') as binary)")})
+    return records(e, "nation", 6, "n_nationkey", {"firmware": struct(major="n_regionkey", minor="n_nationkey", patch="n_nationkey % 3", hash="cast(rpad(left(n_name, 8), 8, ' ') as binary)")})
 
 
 def all_records(spark: SparkSession, sf_dir: str, chunk: int = CHUNK) -> DataFrame:

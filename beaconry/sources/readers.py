@@ -38,48 +38,69 @@ def record_schema() -> StructType:
     return StructType.fromDDL(RECORD_DDL)
 
 
-def _rows(path: str, events, strict: bool):
+def _batch(rows: list[dict], schema: pa.Schema) -> pa.RecordBatch:
+    """Rows as columns; a kind's structs are built for the rows that have one only, and spread by their places."""
+    columns = []
+    for f in schema:
+        values = [r.get(f.name) for r in rows]
+        if pa.types.is_struct(f.type):
+            places, own = [None] * len(values), []
+            for i, v in enumerate(values):
+                if v is not None:
+                    places[i] = len(own)
+                    own.append(v)
+            columns.append(pa.array(own, f.type).take(pa.array(places, pa.int64())) if own else pa.nulls(len(values), f.type))
+        else:
+            columns.append(pa.array(values, f.type))
+    return pa.RecordBatch.from_arrays(columns, schema=schema)
+
+
+def _rows(path: str, events):
     for kind, at, *rest in events:
         if kind == "record":
-            yield {"path": path, **at, "type": NAMES[rest[0]["tag"]], **rest[0], "error": None, "fatal": None}
+            yield {"path": path, **at, "type": NAMES[rest[0]["tag"]], **rest[0]}
         else:
             yield {"path": path, **at, "error": rest[0], "fatal": rest[1]}
 
 
-def _decode(batches, schema: pa.Schema, parse, strict: bool, max_file: int):
+def _decode(batches, schema: pa.Schema, parse, mode: str, max_file: int):
     for batch in batches:
         for path, length, content in zip(*(batch.column(i) for i in range(3))):
             path, out = path.as_py(), []
             try:
                 if length.as_py() > max_file:
                     raise TelemetryError("RANGE", path)
-                for row in _rows(path, parse(content.as_py()), strict):
+                for row in _rows(path, parse(content.as_py())):
                     out.append(row)
                     if len(out) >= 10_000:
-                        yield pa.RecordBatch.from_pylist(out, schema)
+                        yield _batch(out, schema)
                         out = []
             except TelemetryError as e:
-                if strict:
+                if mode == "failfast":
                     raise TelemetryError(e.code, path) from e
-                out.append({"path": path, "error": e.code, "fatal": True})  # the whole file
+                out.append({"path": path, "error": e.code, "fatal": True})  # the rest of the file
             if out:
-                yield pa.RecordBatch.from_pylist(out, schema)
+                yield _batch(out, schema)
 
 
-def _scan(spark, paths, parse, strict: bool, max_file: int) -> Scan:
+def _scan(spark, paths, parse, mode: str, max_file: int, keep: bool = False) -> Scan:
     schema = StructType.fromDDL(RECORD_DDL + ", error string, fatal boolean")
     arrow = to_arrow_schema(schema)
-    both = _files(spark, paths).mapInArrow(lambda b: _decode(b, arrow, parse, strict, max_file), schema)
+    both = _files(spark, paths).mapInArrow(lambda b: _decode(b, arrow, parse, mode, max_file), schema)
+    if keep:
+        both = both.persist()
     names = record_schema().names
     return Scan(both.filter("error IS NULL").select(*names), both.filter("error IS NOT NULL").select("path", "section_index", "record_in_sec", "error", "fatal"))
 
 
-def read_dtl(spark: SparkSession, paths, mode: str = "permissive", max_decode: int = wire.WALK_CAP, max_file: int = MAX_FILE) -> Scan:
-    """Containers. ``permissive`` reports faults and goes on; ``failfast`` fails the job at the first."""
-    if mode not in ("permissive", "failfast"):
+def read_dtl(spark: SparkSession, paths, mode: str = "permissive", max_decode: int = wire.WALK_CAP, max_file: int = MAX_FILE, keep: bool = False) -> Scan:
+    """Containers. ``permissive`` reports faults and goes on, ``stop`` ends a file at its first fault, ``failfast`` fails the job.
+
+    ``keep`` decodes once for several uses: what was decoded stays in memory or on disk.
+    """
+    if mode not in ("permissive", "stop", "failfast"):
         raise TelemetryError("INVAL", mode)
-    strict = mode == "failfast"
-    return _scan(spark, paths, wire.scan_strict if strict else (lambda data: wire.walk(data, max_decode)), strict, max_file)
+    return _scan(spark, paths, (lambda data: wire.walk(data, max_decode)) if mode == "permissive" else wire.scan_strict, mode, max_file, keep)
 
 
 def _imported(records):
@@ -89,29 +110,39 @@ def _imported(records):
 
 def read_csv(spark: SparkSession, paths, max_file: int = MAX_FILE) -> DataFrame:
     """CSV exports; a malformed line fails the job."""
-    return _scan(spark, paths, lambda data: _imported(rows.csv_document(data)), True, max_file).records
+    return _scan(spark, paths, lambda data: _imported(rows.csv_document(data)), "failfast", max_file).records
 
 
 def read_json(spark: SparkSession, paths, max_file: int = MAX_FILE) -> DataFrame:
     """JSON exports; a malformed document fails the job."""
-    return _scan(spark, paths, lambda data: _imported(rows.json_document(data)), True, max_file).records
+    return _scan(spark, paths, lambda data: _imported(rows.json_document(data)), "failfast", max_file).records
 
 
-def read_sections(spark: SparkSession, paths) -> DataFrame:
-    """The section tables, without decoding: a row per section, and the header's fields with each."""
-    schema = StructType.fromDDL("path string, version int, flags int, has_mac boolean, section_index int, section_type int, codec_id int, raw_len long, comp_len long, offset long")
+def _headers(spark: SparkSession, paths, ddl: str, rows) -> DataFrame:
+    schema = StructType.fromDDL(ddl)
     arrow = to_arrow_schema(schema)
 
     def read(batches):
         for batch in batches:
             for path, content in zip(batch.column(0).to_pylist(), batch.column(2)):
                 c = wire.parse_container(content.as_py())
-                out = [{"path": path, "version": c["version"], "flags": c["flags"], "has_mac": c["mac"] is not None, "section_index": i, "section_type": s["type"], **{k: s[k] for k in ("codec_id", "raw_len", "comp_len", "offset")}} for i, s in enumerate(c["sections"])]
-                yield pa.RecordBatch.from_pylist(out, arrow)
+                head = {"path": path, "version": c["version"], "flags": c["flags"], "has_mac": c["mac"] is not None, "sections": len(c["sections"])}
+                yield _batch(rows(head, c["sections"]), arrow)
 
     return _files(spark, paths).mapInArrow(read, schema)
 
 
+def read_headers(spark: SparkSession, paths) -> DataFrame:
+    """One row per container, also of those without sections."""
+    return _headers(spark, paths, "path string, version int, flags int, has_mac boolean, sections int", lambda head, _: [head])
+
+
+def read_sections(spark: SparkSession, paths) -> DataFrame:
+    """The section tables, without decoding: a row per section, and the header's fields with each."""
+    ddl = "path string, version int, flags int, has_mac boolean, section_index int, section_type int, codec_id int, raw_len long, comp_len long, offset long"
+    return _headers(spark, paths, ddl, lambda head, sections: [head | s | {"section_index": i, "section_type": s["type"]} for i, s in enumerate(sections)])
+
+
 def verify(spark: SparkSession, paths, key: bytes | None = None) -> DataFrame:
     """``path, verdict`` of each container's keyed checksum."""
 
@@ -134,6 +165,6 @@ def parse_rows(lines: DataFrame, form: str, line: str = "line", index: str = "re
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 r = parse(text)
                 out.append({"path": form, "section_index": 0, "section_type": 1, "codec_id": 0, "record_in_sec": i, "record_index": i, "type": NAMES[r["tag"]], **r})
-            yield pa.RecordBatch.from_pylist(out, arrow)
+            yield _batch(out, arrow)
 
     return lines.select(F.col(index), F.col(line)).mapInArrow(run, schema)

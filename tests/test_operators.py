@@ -7,7 +7,7 @@ from beaconry.functions import codecs, wire
 from beaconry.functions.schema import TelemetryError
 from beaconry.operators import compare, ranking, redact, stats, timeline, validate
 from beaconry.plans import dsl
-from beaconry.sources import readers, writers
+from beaconry.sources import corpus, readers, writers
 
 
 @pytest.fixture(scope="module")
@@ -78,8 +78,48 @@ def test_dedup(a, b):
 
 def test_sample(a):
     assert [r["record_index"] for r in ranking.sample(a, 5, 42).orderBy("record_index").collect()] == [10, 12, 16, 19, 20]
-    assert ranking.reservoir(9, 3, 42) == [1, 2, 3] and ranking.sample(a, 0, 1).count() == ranking.sample(a, 99, 1).count() == 22
-    assert ranking.reservoir(1000, 7, 0) == ranking.reservoir(1000, 7, 0x9E3779B9) and len(set(ranking.reservoir(1000, 7, 3))) == 7
+    assert ranking.reservoir(9, 3, 42).tolist() == [1, 2, 3] and ranking.sample(a, 0, 1).count() == ranking.sample(a, 99, 1).count() == 22
+    assert (ranking.reservoir(1000, 7, 0) == ranking.reservoir(1000, 7, 0x9E3779B9)).all() and len(set(ranking.reservoir(1000, 7, 3))) == 7
+    with pytest.raises(TelemetryError):
+        ranking.reservoir(1 << 32, 5, 1)
+    few = [r["record_index"] for r in ranking.sample_hashed(a, 5, 42).collect()]
+    assert len(set(few)) == 5 and few == [r["record_index"] for r in ranking.sample_hashed(a.repartition(7), 5, 42).collect()]
+
+
+def one_by_one(total, n, seed, most=0xFFFFFFFF):
+    """The reservoir, a draw at a time."""
+    held, x = list(range(n)), seed & most
+    for i in range(n, total):
+        while True:
+            x ^= x << 13 & most
+            x ^= x >> 17
+            x ^= x << 5 & most
+            if x < most - most % (i + 1):
+                break
+        if x % (i + 1) < n:
+            held[x % (i + 1)] = i
+    return sorted(held)
+
+
+@pytest.mark.parametrize("total, n, seed", [(2, 1, 1), (50, 49, 9), (5_000, 40, 42), (70_000, 3, 0xFFFFFFFF), (70_000, 20_000, 5)])
+def test_reservoir_is_the_sequential_one(total, n, seed, monkeypatch):
+    assert ranking.reservoir(total, n, seed, 16, 64).tolist() == one_by_one(total, n, seed) == ranking.reservoir(total, n, seed).tolist()
+    monkeypatch.setattr(ranking, "_MOST", 1 << 31)  # many draws are thrown away
+    assert ranking.reservoir(1000, 10, seed, 16, 8).tolist() == thrown_away(1000, 10, seed, 1 << 31)
+
+
+def thrown_away(total, n, seed, most):
+    held, x = list(range(n)), seed or 0x9E3779B9
+    for i in range(n, total):
+        while True:
+            x ^= x << 13 & 0xFFFFFFFF
+            x ^= x >> 17
+            x ^= x << 5 & 0xFFFFFFFF
+            if x < most - most % (i + 1):
+                break
+        if x % (i + 1) < n:
+            held[x % (i + 1)] = i
+    return sorted(held)
 
 
 def test_topk(a, cli):
@@ -97,6 +137,40 @@ def test_timeline(a, cli):
     assert timeline.report(cli)[-1] == "timeline: gaps=0 ordering-violations=1" and "ORDERING: uptime decreased (1200 -> 99)" in timeline.report(cli)[3]
 
 
+@pytest.mark.parametrize("span", [1, 2, 5, 7, 1000])
+def test_timeline_ranges(spark, span):
+    """However a stream's order is cut, the sessions are those of one pass."""
+    import random
+
+    r = random.Random(3)
+    streams = {s: [(i, r.random() < 0.3, r.randrange(1000)) for i in sorted(r.sample(range(200), 60))] for s in ("p", "q", None)}
+    records = [(s, i, 0x10 if beat else 0x14, (up, i) if beat else None) for s, rows in streams.items() for i, beat, up in rows]
+    df = spark.createDataFrame(records, "path string, record_index long, tag smallint, heartbeat struct<uptime_s:bigint,seq:bigint>")
+    want, number = {}, {}
+    for s, rows in streams.items():
+        session, before = None, None
+        for i, beat, up in rows:
+            if beat:
+                session = 0 if session is None else session + 1
+                status = None if before is None else "ORDERING" if up < before else "GAP" if up - before > 120 else None
+                want[s, session], before = [up, 0, i, status], up
+            number[s, i] = session
+            if session is not None:
+                want[s, session][1] += 1
+    got = {(x["path"], x["session"]): [x["uptime_s"], x["record_count"], x["first_record_index"], x["status"]] for x in timeline.sessions(df, span=span).collect()}
+    assert got == want
+    assert {(x["path"], x["record_index"]): x["session"] for x in timeline.attributed(df, span=span).collect()} == number
+
+
+def test_generated_corpus(spark, tmp_path):
+    assert corpus.write_corpus(spark, 200, 3, str(tmp_path)) == 3
+    scan = readers.read_dtl(spark, str(tmp_path))
+    assert scan.records.count() == 27 and scan.errors.count() == 0
+    r = {x["type"]: x for x in scan.records.filter("path LIKE '%corpus_201.dtl'").collect()}
+    assert (r["HEARTBEAT"]["heartbeat"]["seq"], r["GEO"]["geo"]["lon_e7"], r["BATTERY"]["battery"]["temp_c_e1"], r["SENSOR"]["sensor"]["samples"]) == (1408, -201000, 503, [301.5, -2.5])
+    assert bytes(r["KEYREF"]["keyref"]["label"]) == b"device-key-slot-201" and bytes(r["DIAG"]["diag"]["blob"])[0] == (0x40 + 201) % 256 and r["LOG"]["codec_id"] == 4
+
+
 def test_merge_split_select(spark, a, b, tmp_path):
     m = writers.merged([a, b])
     assert m.count() == 44 and [r["section_index"] for r in m.select("section_index").distinct().orderBy("section_index").collect()] == list(range(0x10, 0x1B))
