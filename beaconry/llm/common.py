@@ -6,76 +6,82 @@ that every executor can read it and a lost executor loses nothing.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import delete, new_folder
+
 #: Blanks as the contracts define them: space and \t \n \v \f \r.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='beaconry-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 class Stash:
-    """Tables written into the shared folder, removed by ``drop`` or when the driver ends."""
+    """Tables written into the shared folder. ``drop`` removes them, at the latest when the driver ends."""
+
+    live: list["Stash"] = []
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/beaconry-{uuid.uuid4().hex}"
+        self.root = new_folder(spark)
         self.count = 0
-        atexit.register(self.drop)
+        Stash.live.append(self)
+
+    def place(self) -> str:
+        """The path of a new table."""
+        self.count += 1
+        return f"{self.root}/{self.count}"
 
     def put(self, df: DataFrame) -> DataFrame:
         """Write ``df`` once and read it back: a plan without history."""
-        self.count += 1
-        path = f"{self.root}/{self.count}"
+        path = self.place()
         df.write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._stash_path = path
         return back
 
-    def _delete(self, path: str) -> None:
-        context = self.spark.sparkContext
-        if context._jsc is None:
-            return
-        place = context._jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
-
-    def forget(self, df: DataFrame) -> None:
-        """Delete one stashed table that no later plan reads."""
-        self._delete(df._stash_path)
+    def forget(self, *tables: DataFrame) -> None:
+        """Delete stashed tables that no later plan reads."""
+        for df in tables:
+            delete(self.spark, df._stash_path)
 
     def drop(self) -> None:
-        try:
-            self._delete(self.root)
-        except Exception:  # the session may be gone when the process ends
-            pass
+        delete(self.spark, self.root)
+        if self in Stash.live:
+            Stash.live.remove(self)
+
+
+@contextmanager
+def scratch():
+    """Removes the stashes that operators make inside: write what they return before the block ends."""
+    before = list(Stash.live)
+    try:
+        yield
+    finally:
+        for stash in [s for s in Stash.live if s not in before]:
+            stash.drop()
 
 
 def fresh(df: DataFrame, name: str) -> str:
-    """``name``, with underscores added until no column of ``df`` has it (case ignored)."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
+    """``name``, with underscores added until no column of ``df`` begins with it (case ignored), so that longer names are free too."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(name.lower()) for c in taken):
         name += "_"
     return name
 
 
-def whole_text(column: str = "text") -> Column:
-    """The text, a null one as the empty text."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+def quoted(name: str) -> str:
+    """A column's name as SQL, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once, also inside lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def own(df: DataFrame) -> list[Column]:
+    """The columns of ``df``, also those whose names hold dots."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def whole_text(column: str = "text") -> Column:
+    """The text, a null one as the empty text."""
+    return F.coalesce(F.col(quoted(column)).cast("string"), F.lit(""))

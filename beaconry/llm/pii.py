@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, whole_text
+from .common import fresh, own, quoted, whole_text
 
 # The base patterns, in an equivalent form that never backtracks over a run.
 LOCAL = r"[A-Za-z0-9._%+-]"
@@ -101,9 +101,9 @@ def find_pii(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
         kept = f"""filter(transform({found}, x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'score', cast({score} as double))), x -> x.score >= {LEAST})"""
         spans.append(f"CASE WHEN size({f}) > 0 THEN {kept} ELSE cast(array() as array<struct<kind:string,start:int,end:int,score:double>>) END")
     n = len(BASE)
-    step = step.select(*docs.columns, F.expr(f"concat({', '.join(spans[:n])})").alias(f"{out}_b"), F.expr(f"concat({', '.join(spans[n:])})").alias(f"{out}_a"))
+    step = step.select(*own(docs), F.expr(f"concat({', '.join(spans[:n])})").alias(f"{out}_b"), F.expr(f"concat({', '.join(spans[n:])})").alias(f"{out}_a"))
     free = f"filter({out}_a, x -> NOT exists({out}_b, b -> b.start < x.end AND x.start < b.end))"
-    return step.select(*docs.columns, F.expr(f"CASE WHEN size({out}_a) > 0 THEN concat({out}_b, {free}) ELSE {out}_b END").alias(out)), out
+    return step.select(*own(docs), F.expr(f"CASE WHEN size({out}_a) > 0 THEN concat({out}_b, {free}) ELSE {out}_b END").alias(out)), out
 
 
 def digest(spans: Column) -> Column:
@@ -117,11 +117,13 @@ def is_base(span: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``text``'s spans replaced by ``<KIND>``; overlapping spans become neighbouring marks."""
     found, spans = find_pii(docs, text)
+    t = quoted(text)
     cut = f"""aggregate(array_sort({spans}, (a, b) -> CASE WHEN a.start <> b.start THEN a.start - b.start ELSE b.end - a.end END),
         named_struct('pos', 0, 'out', cast(array() as array<string>)), (a, s) -> CASE WHEN s.end <= a.pos THEN a ELSE named_struct('pos', s.end, 'out',
-        array_append(a.out, concat(CASE WHEN s.start > a.pos THEN substring(`{text}`, a.pos + 1, s.start - a.pos) ELSE '' END, '<', upper(s.kind), '>'))) END,
-        a -> concat(array_join(a.out, ''), substring(`{text}`, a.pos + 1)))"""
-    return found.withColumn(text, F.expr(f"CASE WHEN size({spans}) > 0 THEN {cut} ELSE `{text}` END")).select(*docs.columns)
+        array_append(a.out, concat(CASE WHEN s.start > a.pos THEN substring({t}, a.pos + 1, s.start - a.pos) ELSE '' END, '<', upper(s.kind), '>'))) END,
+        a -> concat(array_join(a.out, ''), substring({t}, a.pos + 1)))"""
+    new = F.expr(f"CASE WHEN size({spans}) > 0 THEN {cut} ELSE {t} END").alias(text)
+    return found.select(*[new if c == text else F.col(quoted(c)) for c in docs.columns])
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -129,7 +131,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = redact(docs)
     if "n_chars" in out.columns:
         out = out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return out
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,7 +142,8 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     count = lambda k: F.size(F.filter(spans, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     return found.select(
         "doc_id", *[count(k) for k in BASE], F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col(spans)).alias("spans"),
-        (F.size(spans) - F.size(base)).cast("long").alias("n_added"),
+        F.size(spans).cast("long").alias("n_spans"), (F.size(spans) - F.size(base)).cast("long").alias("n_added"),
+        F.array_join(F.transform(spans, lambda s: F.format_string("%.1f", s["score"])), ",").alias("scores"),
     )
 
 

@@ -8,8 +8,7 @@ change them, and so not the thresholds. Sources with fewer than ``min_docs`` doc
 sketch of their language. The verdict is Tukey's far fence: a measure above
 ``q3 + spread * max(q3 - q1, q9 - q3)`` rejects the document, where ``q9`` is the last decile (most groups'
 quartiles of symbols, repeated lines and repeated words are all 0); short words have a lower fence too. A document
-may exceed the fence by ``units`` symbols, lines or three-word windows, as far as its own share is rounded. Rules with
-``floors`` have ``max(q3 - q1, floor)`` instead and no units: so ``op2_quality_rules``, whose SQL defines it.
+may exceed the fence by ``units`` symbols, lines or three-word windows, as far as its own share is rounded.
 
 Defined results: a null text is an empty text, has no words and fails the base; null languages and
 sources form groups of their own; repeated rows are judged each; an empty table gives no rows; other
@@ -24,10 +23,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import BLANK, WORD, Stash, fresh, whole_text
+from .common import BLANK, WORD, Stash, fresh, own, quoted, whole_text
 
-#: Measures, and the least spread that a fence of op2's SQL counts (in the measure's unit).
-MEASURES = {"word_length": 100, "symbols": 500, "dup_lines": 2000, "repeats": 1000}
+#: Whole numbers: characters a word times 100, and three shares in parts of 10,000.
+MEASURES = ("word_length", "symbols", "dup_lines", "repeats")
 #: The least step of a measure: so much of its numerator, over its denominator.
 STEPS = {"symbols": (1, "word_chars"), "dup_lines": (1, "n_lines"), "repeats": (6, "n_words")}
 
@@ -40,8 +39,6 @@ class Rules:
     min_docs: int = 100
     #: Steps of its own measure by which a document may exceed a fence.
     units: int = 3
-    #: Least spread by measure, for fences without the last decile and units.
-    floors: dict | None = None
     #: Groups of thresholds that may be broadcast (about 100 bytes each).
     broadcast_groups: int = 50_000
     salts: int = 64
@@ -56,7 +53,7 @@ def measure(docs: DataFrame, text: str, out: str, hash_shift: int = 0) -> DataFr
     """
     words, lines, bits, grams, spots = (fresh(docs, f"__{x}") for x in ("words", "lines", "bits", "grams", "spots"))
     t = whole_text(text)
-    keep = docs.columns
+    keep = own(docs)
     step = docs.select(
         *keep,
         F.array_remove(F.split(t, f"{BLANK}+", -1), "").alias(words),
@@ -147,7 +144,7 @@ def measures(m: str) -> dict[str, Column]:
 
 def slack(k: str, m: str, rules: Rules) -> Column:
     """What measure ``k`` of a document may exceed its fence by: ``units`` steps of that document's own measure."""
-    if rules.floors is not None or k not in STEPS:
+    if k not in STEPS:
         return F.lit(0).cast("long")
     step, of = STEPS[k]
     return F.expr(f"cast({rules.units * step * 10_000} div greatest({m}.{of}, 1L) as bigint)")
@@ -161,22 +158,18 @@ def thresholds(measured: DataFrame, m: str, lang: str, source: str, rules: Rules
     """One row per language and source of ``measured``: the fence of every measure."""
     good = measured.filter(~base_failed(m, rules))
     long = good.select(
-        F.col(lang).alias("lang"),
-        F.col(source).alias("source"),
+        F.col(quoted(lang)).alias("lang"),
+        F.col(quoted(source)).alias("source"),
         F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in measures(m).items()])).alias("x"),
     ).select("lang", "source", "x.measure", "x.value")
-    own = sketch(long, ["lang", "source", "measure"], "value")
-    own_q = quartiles(own, ["lang", "source", "measure"])
-    lang_q = quartiles(merge(own, ["lang", "measure"]), ["lang", "measure"]).select(
+    by_source = sketch(long, ["lang", "source", "measure"], "value")
+    own_q = quartiles(by_source, ["lang", "source", "measure"])
+    lang_q = quartiles(merge(by_source, ["lang", "measure"]), ["lang", "measure"]).select(
         F.col("lang").alias("l"), F.col("measure").alias("k"), *[F.col(q).alias(f"lang_{q}") for q in ("q1", "q3", "q9")]
     )
     both = own_q.join(lang_q, F.col("lang").eqNullSafe(F.col("l")) & (F.col("measure") == F.col("k")))
     q1, q3, q9 = (F.when(F.col("n") >= rules.min_docs, F.col(q)).otherwise(F.col(f"lang_{q}")) for q in ("q1", "q3", "q9"))
-    if rules.floors is None:
-        least = q9 - q3
-    else:
-        least = F.create_map(*[F.lit(x) for pair in rules.floors.items() for x in pair])[F.col("measure")].cast("long")
-    gap = F.lit(rules.spread) * F.greatest(q3 - q1, least)
+    gap = F.lit(rules.spread) * F.greatest(q3 - q1, q9 - q3)
     rows = both.select("lang", "source", "measure", (q3 + gap).alias("most"), (q1 - gap).alias("least"))
     at = lambda k, c: F.max(F.when(F.col("measure") == k, F.col(c))).alias(f"{k}_{c}")
     return rows.groupBy("lang", "source").agg(*[at(k, "most") for k in MEASURES], at("word_length", "least"))
@@ -186,7 +179,7 @@ def verdict(measured: DataFrame, fences: DataFrame, m: str, lang: str, source: s
     """``measured`` with ``base_failed`` and ``kept`` added to its struct ``m``, by a join with the fences."""
     name = fresh(measured, "__fence")
     f = fences.select(F.struct(*fences.columns).alias(name))
-    on = F.col(lang).eqNullSafe(F.col(f"{name}.lang")) & F.col(source).eqNullSafe(F.col(f"{name}.source"))
+    on = F.col(quoted(lang)).eqNullSafe(F.col(f"{name}.lang")) & F.col(quoted(source)).eqNullSafe(F.col(f"{name}.source"))
     if fences.count() <= rules.broadcast_groups:
         joined = measured.join(F.broadcast(f), on, "left")
     else:  # a hot source is spread over all salts
@@ -194,13 +187,13 @@ def verdict(measured: DataFrame, fences: DataFrame, m: str, lang: str, source: s
         f = f.withColumn(f"{salt}f", F.explode(F.sequence(F.lit(0), F.lit(rules.salts - 1))))
         salted = measured.withColumn(salt, F.pmod(F.xxhash64(m), F.lit(rules.salts)).cast("int"))
         joined = salted.join(f, on & (F.col(salt) == F.col(f"{salt}f")), "left")
-    own, bad = measures(m), F.lit(False)
+    values, bad = measures(m), F.lit(False)
     for k in MEASURES:
-        bad = bad | F.coalesce(own[k] > F.col(f"{name}.{k}_most") + slack(k, m, rules), F.lit(False))
-    bad = bad | F.coalesce(own["word_length"] < F.col(f"{name}.word_length_least"), F.lit(False))
+        bad = bad | F.coalesce(values[k] > F.col(f"{name}.{k}_most") + slack(k, m, rules), F.lit(False))
+    bad = bad | F.coalesce(values["word_length"] < F.col(f"{name}.word_length_least"), F.lit(False))
     failed = base_failed(m, rules)
     return joined.select(
-        *[c for c in measured.columns if c != m],
+        *[F.col(quoted(c)) for c in measured.columns if c != m],
         F.struct(F.col(f"{m}.*"), failed.alias("base_failed"), (~failed & ~bad).alias("kept")).alias(m),
     )
 
@@ -218,13 +211,13 @@ def quality_rules(docs: DataFrame, text="text", lang="lang", source="source", ru
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that are kept, with the columns of ``docs``."""
     judged, m = quality_rules(docs)
-    return judged.filter(F.col(f"{m}.kept")).select(*docs.columns)
+    return judged.filter(F.col(f"{m}.kept")).select(*own(docs))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict for every row of ``documents``; the text is measured once and not carried along."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    rules, stash = Rules(floors=MEASURES), Stash(spark)
+    rules, stash = Rules(), Stash(spark)
     measured = stash.put(measure(docs, "text", "m").drop("text"))
     fences = stash.put(thresholds(measured, "m", "lang", "source", rules))
     return verdict(measured, fences, "m", "lang", "source", rules).select(
@@ -254,15 +247,15 @@ sl AS (SELECT lang, k, bucket, sum(n) AS n FROM s GROUP BY ALL),
 cl AS (SELECT lang, k, bucket, n, sum(n) OVER (PARTITION BY lang, k ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY lang, k) AS total FROM sl),
 e AS (SELECT lang, source, k, upto, total, CASE WHEN bucket < 128 THEN bucket ELSE ((bucket % 128 + 1) << CAST(bucket // 128 AS BIGINT)) - 1 END AS u FROM c),
 el AS (SELECT lang, k, upto, total, CASE WHEN bucket < 128 THEN bucket ELSE ((bucket % 128 + 1) << CAST(bucket // 128 AS BIGINT)) - 1 END AS u FROM cl),
-q AS (SELECT lang, source, k, min(total) AS n, min(u) FILTER (upto * 4 >= total) AS q1, min(u) FILTER (upto * 4 >= total * 3) AS q3 FROM e GROUP BY ALL),
-ql AS (SELECT lang, k, min(u) FILTER (upto * 4 >= total) AS q1, min(u) FILTER (upto * 4 >= total * 3) AS q3 FROM el GROUP BY ALL),
-y AS (SELECT q.lang, q.source, q.k, CASE WHEN n >= 100 THEN q.q1 ELSE ql.q1 END AS q1, CASE WHEN n >= 100 THEN q.q3 ELSE ql.q3 END AS q3
+q AS (SELECT lang, source, k, min(total) AS n, min(u) FILTER (upto * 4 >= total) AS q1, min(u) FILTER (upto * 4 >= total * 3) AS q3, min(u) FILTER (upto * 10 >= total * 9) AS q9 FROM e GROUP BY ALL),
+ql AS (SELECT lang, k, min(u) FILTER (upto * 4 >= total) AS q1, min(u) FILTER (upto * 4 >= total * 3) AS q3, min(u) FILTER (upto * 10 >= total * 9) AS q9 FROM el GROUP BY ALL),
+y AS (SELECT q.lang, q.source, q.k, CASE WHEN n >= 100 THEN q.q1 ELSE ql.q1 END AS q1, CASE WHEN n >= 100 THEN q.q3 ELSE ql.q3 END AS q3, CASE WHEN n >= 100 THEN q.q9 ELSE ql.q9 END AS q9
   FROM q JOIN ql ON q.lang IS NOT DISTINCT FROM ql.lang AND q.k = ql.k),
-z AS (SELECT lang, source, k, q3 + 3 * greatest(q3 - q1, [100, 500, 2000, 1000][k]) AS most, q1 - 3 * greatest(q3 - q1, [100, 500, 2000, 1000][k]) AS least FROM y),
+z AS (SELECT lang, source, k, q3 + 3 * greatest(q3 - q1, q9 - q3) AS most, q1 - 3 * greatest(q3 - q1, q9 - q3) AS least FROM y),
 f AS (SELECT lang, source, max(most) FILTER (k = 1) AS m1, max(most) FILTER (k = 2) AS m2, max(most) FILTER (k = 3) AS m3, max(most) FILTER (k = 4) AS m4,
   max(least) FILTER (k = 1) AS l1 FROM z GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT (coalesce(v1 > m1, false) OR coalesce(v2 > m2, false) OR coalesce(v3 > m3, false) OR coalesce(v4 > m4, false) OR coalesce(v1 < l1, false)) AS kept
+  NOT base_failed AND NOT (coalesce(v1 > m1, false) OR coalesce(v2 > m2 + 30000 // greatest(word_chars, 1), false) OR coalesce(v3 > m3 + 30000 // greatest(n_lines, 1), false) OR coalesce(v4 > m4 + 180000 // greatest(n_words, 1), false) OR coalesce(v1 < l1, false)) AS kept
 FROM b LEFT JOIN f ON b.lang IS NOT DISTINCT FROM f.lang AND b.source IS NOT DISTINCT FROM f.source
 """
 

@@ -77,3 +77,34 @@ def test_digest(spark, tmp_path):
     a, b = pii.op4_pii(spark, str(tmp_path)).orderBy("doc_id").collect()
     assert (a["spans"], a["base_sha256"], a["n_email"]) == ("email:2:7", hashlib.sha256(b"email:2:7").hexdigest(), 1)
     assert (b["spans"], b["base_sha256"], b["n_added"]) == ("", hashlib.sha256(b"").hexdigest(), 0)
+
+
+def test_stage_counts_characters(spark):
+    docs = spark.createDataFrame([(1, "é a@b.c", "en", "s", 7), (2, None, "en", "s", 5)], "doc_id long, text string, lang string, source string, n_chars int")
+    out = pii.stage(spark, docs, "")
+    assert out.schema == docs.schema
+    assert [(r["text"], r["n_chars"]) for r in out.orderBy("doc_id").collect()] == [("é <EMAIL>", 9), (None, 5)]
+
+
+def test_base_columns_against_sql(spark):
+    """The contract's columns in DuckDB, from the same patterns: matches and the pieces between them."""
+    import duckdb
+
+    def spans(kind, pattern, check):
+        return f"""{kind}_a AS (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS h, regexp_split_to_array(t, '{pattern}') AS p FROM d),
+        {kind}_b AS (SELECT doc_id, unnest(h) AS h, unnest(range(1, len(h) + 1)) AS i, h AS hs, p FROM {kind}_a),
+        {kind}_c AS (SELECT doc_id, '{kind}' AS kind, h, list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hs[1:i-1], lambda x: length(x))), 0) AS s FROM {kind}_b),
+        {kind} AS (SELECT * FROM {kind}_c WHERE {check})"""
+
+    digits = "regexp_replace(h, '[^0-9]', '', 'g')"
+    doubled = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN (length({digits}) - i) % 2 = 0 THEN CAST({digits}[i] AS INT) ELSE (CAST({digits}[i] AS INT) * 2) // 10 + (CAST({digits}[i] AS INT) * 2) % 10 END))"
+    checks = {"email": "true", "ip": "list_max(list_transform(string_split(h, '.'), lambda x: CAST(x AS HUGEINT))) <= 255", "card": f"length({digits}) BETWEEN 16 AND 19 AND {doubled} % 10 = 0", "phone": f"length({digits}) BETWEEN 8 AND 15"}
+    parts = ",\n".join(spans(k, p.replace("(", "(?:").replace(r"\+[0-9][\x20(?:)", r"\+[0-9][\x20()"), checks[k]) for k, p in PATTERNS.items())
+    order = " ".join(f"WHEN '{k}' THEN {i}" for i, k in enumerate(PATTERNS))
+    folder = "/root/testdata/sf0.001"
+    sql = f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM '{folder}/documents.parquet'), {parts},
+    every AS ({' UNION ALL '.join(f'SELECT doc_id, kind, h, s FROM {k}' for k in PATTERNS)})
+    SELECT d.doc_id, {', '.join(f"count(*) FILTER (kind = '{k}')" for k in PATTERNS)}, sha256(coalesce(string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(s + length(h) AS BIGINT), ',' ORDER BY CASE kind {order} END, s), ''))
+    FROM d LEFT JOIN every USING (doc_id) GROUP BY d.doc_id"""
+    got = pii.op4_pii(spark, folder).select("doc_id", *[f"n_{k}" for k in PATTERNS], "base_sha256")
+    assert sorted(map(tuple, got.collect())) == sorted(duckdb.sql(sql).fetchall())
