@@ -1,8 +1,12 @@
-"""Rules on hand-made urls and the walk against a plain power iteration."""
+"""Rules on hand-made urls, the walk against a plain power iteration, and the query against its SQL."""
+
+import random
 
 import pytest
 
 from beaconry.llm import url_filters as u
+from beaconry.llm.common import Stash
+from beaconry.llm.graph import Unsettled
 
 
 def test_rules(spark):
@@ -26,17 +30,65 @@ def test_links_decide(spark):
     assert out[2]["trust"] > 0 == out[2]["distrust"] and out[3]["distrust"] > 0 == out[3]["trust"]
 
 
-def test_walk(spark):
-    edges = {("a", "b"): 0.5, ("a", "c"): 0.5, ("b", "a"): 1.0, ("c", "c"): 1.0}
-    seeds, p = {"a": 3.0, "d": 1.0}, u.Params(rounds=9)
-    start = {k: v / 4 for k, v in seeds.items()}
-    rank = dict(start)
-    for _ in range(p.rounds):
-        new = {k: v * (1 - p.damping) for k, v in start.items()}
+def power(edges, seeds, damping=0.5):
+    """Plain power iteration over weighted edges; hosts without out-edges send all back to the seeds."""
+    hosts = sorted({h for e in edges for h in e} | set(seeds))
+    out = {h: sum(w for (s, _), w in edges.items() if s == h) for h in hosts}
+    total = sum(seeds.values())
+    rank = dict.fromkeys(hosts, 1 / len(hosts))
+    for _ in range(100):
+        back = sum(rank[h] for h in hosts if not out[h])
+        new = {h: seeds.get(h, 0) / total * (1 - damping + damping * back) for h in hosts}
         for (s, d), w in edges.items():
-            new[d] = new.get(d, 0) + p.damping * rank.get(s, 0) * w
+            new[d] += damping * rank[s] * w / out[s]
         rank = new
-    from beaconry.llm.common import Stash
+    return rank
+
+
+def scored(spark, edges, allowed, blocked, p=u.Params(damping=0.5)):
+    hosts = spark.createDataFrame([(h, allowed.get(h, 0), blocked.get(h, 0)) for h in {x for e in edges for x in e} | set(allowed) | set(blocked)], "host string, allowed long, blocked long")
+    table = spark.createDataFrame([(*k, float(w)) for k, w in edges.items()], "src string, dst string, weight double")
+    return {r["host"]: (r["trust"], r["distrust"]) for r in u.host_scores(hosts, table, p, Stash(spark)).collect()}
+
+
+def test_ranks_add_up(spark):
+    """A leaf, loops, a hub, links across many hosts."""
+    assert scored(spark, {("a", "b"): 1}, {"a": 1}, {}) == {"a": (pytest.approx(1 / 1.5), 0), "b": (pytest.approx(0.5 / 1.5), 0)}
+    r = random.Random(6)
+    edges = {("a", "a"): 30, ("a", "b"): 1, ("b", "leaf"): 2, ("c", "c"): 5}
+    for _ in range(400):
+        edges[f"h{r.randrange(80)}", r.choice(["hub", f"h{r.randrange(80)}"])] = r.randrange(1, 9)
+    edges |= {("hub", f"h{i}"): 1 for i in range(0, 80, 3)} | {("h1", "a"): 1}
+    allowed, blocked = {"a": 5, "h3": 2, "alone": 1}, {"h7": 4, "leaf": 1}
+    got = scored(spark, edges, allowed, blocked)
+    back = {(d, s): w for (s, d), w in edges.items()}
+    for side, want in enumerate((power(edges, allowed), power(back, blocked))):
+        assert sum(v[side] for v in got.values()) == pytest.approx(1)
+        assert all(got.get(h, (0, 0))[side] == pytest.approx(x, abs=1e-8) for h, x in want.items())
+
+
+def test_slow_walks_end_or_fail(spark):
+    """A long cycle hands the mass on almost whole: it takes many rounds, and too few of them are an error."""
+    cycle = {(f"c{i:02}", f"c{(i + 1) % 40:02}"): 1 for i in range(40)}
+    got = scored(spark, cycle, {"c00": 1}, {}, u.Params(tolerance=1e-4))
+    assert got["c39"][0] == pytest.approx(0.85**39 * 0.15 / (1 - 0.85**40), abs=1e-3)
+    with pytest.raises(Unsettled):
+        scored(spark, cycle, {"c00": 1}, {}, u.Params(rounds=8))
+
+
+def test_query_against_sql(spark, tmp_path):
+    """Links across hosts of several sites; the SQL walks on its own."""
+    import duckdb
 
-    got = u.walk(spark.createDataFrame([(*k, v) for k, v in edges.items()], "src string, dst string, share double"), spark.createDataFrame(list(seeds.items()), "host string, seed double"), p, Stash(spark))
-    assert {r["host"]: pytest.approx(r["rank"]) for r in got.collect() if r["rank"]} == rank
+    r = random.Random(2)
+    hosts = [f"{a}.{b}" for a in ("www", "x", "y", "shop") for b in ("one.org", "two.com", "bad.com", "four.net", "five.info")]
+    rows = []
+    for i in range(200):
+        links = " ".join(f'<a href="//{r.choice(hosts)}/p">x</a>' for _ in range(r.randrange(4)))
+        rows.append((i, f"http://{r.choice(hosts)}/{r.choice(['de/', 'fr/', 'en/1', ''])}{i}", links + '<a href="/own">o</a>' * r.randrange(3)))
+    spark.createDataFrame([*rows, (900, None, None), (901, "x", "")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW pages AS SELECT * FROM read_parquet('{tmp_path}/pages.parquet/*.parquet')")
+    want = sorted(db.sql(u.SQL["op7_url_filters"]).fetchall(), key=str)
+    got = sorted(map(tuple, u.op7_url_filters(spark, str(tmp_path)).collect()), key=str)
+    assert got == want and len({(x[3], x[4]) for x in got}) >= 5
