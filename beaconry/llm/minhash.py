@@ -9,13 +9,14 @@ sampling without replacement.
 Documents with equal shingle sets become one class at once. The classes' sketches are cut into bands;
 classes that share a band are candidates. Each band's members are compared with its smallest id (a star,
 not all pairs), and what that verifies is joined into components. Where a band still holds several
-components, all its members are compared across components, in blocks of bounded size: a block
-intersects whole sets by counting and returns only the links that join components, at most one per row. So
-every candidate pair ends in one component or has been compared on full sets. With 40 bands of 6 rows a
-pair at similarity 0.8 is missed with probability 5e-6.
+components, the members outside of the band's largest component are compared, in blocks of bounded size, with all
+members of other components: a block holds the sets of its outsiders, intersects the others' sets with them by counting as
+they pass by, and returns only links that join components. So every candidate pair ends in one component or has been compared on
+full sets, and a band of near copies costs its size times its few outsiders. Sets are hashed once and move as
+arrays. With 40 bands of 6 rows a pair at similarity 0.8 is missed with probability 5e-6.
 
 Defined results: null and blank texts have the empty set and link with nothing; rows without an id link
-with nothing, have no component and are kept; rows that repeat an id are one document; ties don't
+with nothing, have no component and are kept; rows that repeat an id are one document, its greatest text; ties don't
 matter (the smallest id names the component); an empty table gives no rows; other columns are not read.
 """
 
@@ -25,13 +26,12 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, own, quoted
 from .graph import components
 
 U = np.uint64
@@ -46,9 +46,10 @@ class Params:
     percent: int = 80
     bands: int = 40
     rows: int = 6
-    #: Rows, and shingles, of a block that compares the members of one band.
+    #: Outsiders, and their shingles, that one block of a band holds, and members that pass by it in one task.
     block: int = 512
     block_shingles: int = 1 << 20
+    passing: int = 8192
     #: Members that one copy of a centre serves.
     star: int = 100
     #: Ids (8 bytes each) that may be broadcast.
@@ -132,27 +133,29 @@ def _sketches(batches, p: Params):
         )
 
 
-def _runs(values: list[np.ndarray]) -> np.ndarray:
-    """Starts of the runs of equal rows, and the end."""
-    change = np.zeros(len(values[0]), bool)
-    change[:1] = True
-    for v in values:
-        change[1:] |= v[1:] != v[:-1]
-    return np.append(np.flatnonzero(change), len(change))
+def _sets(batches, p: Params):
+    """``id, set``: the shingles' hashes as bytes."""
+    for batch in batches:
+        sets = [shingle_set(t, p.words).tobytes() for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])
+
+
+def _set(data) -> np.ndarray:
+    return np.frombuffer(data.as_buffer(), U)
 
 
 def _verify(batches, p: Params):
-    """Rows sorted by centre, salt and role: a centre's text, then the members that it is compared with."""
+    """Rows sorted by centre, salt and role: a centre's set, then the members that it is compared with."""
     centre, of = None, None
     for batch in batches:
         a, b = [], []
-        cs, roles, ids, texts = (batch.column(i).to_pylist() for i in range(4))
-        for c, role, i, text in zip(cs, roles, ids, texts):
+        cs, roles, ids = (batch.column(i).to_pylist() for i in range(3))
+        for c, role, i, data in zip(cs, roles, ids, batch.column(3)):
             if role == 0:
-                centre, of = shingle_set(text, p.words), c
+                centre, of = _set(data), c
                 continue
             assert of == c
-            s = shingle_set(text, p.words)
+            s = _set(data)
             if 100 * min(len(s), len(centre)) < p.percent * max(len(s), len(centre)):
                 continue
             both = len(np.intersect1d(s, centre, assume_unique=True))
@@ -166,126 +169,155 @@ def _few(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
-def verified(pairs: DataFrame, texts: DataFrame, p: Params, stash: Stash) -> DataFrame:
-    """Those of ``pairs`` (c, i; stashed) whose full sets are similar enough, as u > v. texts: id, text.
+def verified(pairs: DataFrame, sets: DataFrame, p: Params, stash: Stash) -> DataFrame:
+    """Those of ``pairs`` (c, i; stashed) whose full sets are similar enough, as u > v. sets: id, set.
 
-    Each member's text moves once to its centre; a centre with many members is copied to several tasks.
+    Each member's set moves once to its centre; a centre with many members is copied to several tasks.
     """
     load = stash.put(pairs.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / p.star).cast("int").alias("salts")))
-    ids = stash.put(pairs.select(F.col("i").alias("id")).union(pairs.select("c")).distinct())
-    texts = stash.put(texts.join(_few(ids, p.broadcast_ids), "id", "left_semi").dropDuplicates(["id"]))
-    centres = load.join(texts, load.c == texts.id).select("c", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("id").alias("i"), "text")
-    members = pairs.join(_few(load, p.broadcast_ids), "c").join(texts, pairs.i == texts.id).select(
-        "c", F.pmod(F.xxhash64("i"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "i", "text"
+    centres = load.join(sets, load.c == sets.id).select("c", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("id").alias("i"), "set")
+    members = pairs.join(_few(load, p.broadcast_ids), "c").join(sets, pairs.i == sets.id).select(
+        "c", F.pmod(F.xxhash64("i"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "i", "set"
     )
     rows = centres.union(members).repartition("c", "salt").sortWithinPartitions("c", "salt", "role")
-    return rows.select("c", "role", "i", "text").mapInArrow(lambda b: _verify(b, p), "u long, v long")
-
-
-def _joins(g: pd.DataFrame, known: dict, p: Params):
-    """Links (u > v) that join components within one pair of blocks of one band."""
-    ids, label, block = (g[c].to_numpy().copy() for c in ("id", "component", "block"))
-    sets = []
-    for i, text in zip(ids.tolist(), g["text"]):
-        if i not in known:
-            if len(known) >= 1000:
-                known.clear()
-            known[i] = shingle_set(text, p.words)
-        sets.append(known[i])
-    n = np.array([len(x) for x in sets])
-    _, column = np.unique(np.concatenate(sets), return_inverse=True)
-    starts = np.cumsum(n) - n
-    mark = np.zeros(int(column.max()) + 1, np.int64)
-    lo, hi = g["lo"].iloc[0], g["hi"].iloc[0]
-    for x in np.flatnonzero(block == lo):
-        later = (block == hi) & (label != label[x]) & (100 * np.minimum(n, n[x]) >= p.percent * np.maximum(n, n[x]))
-        if lo == hi:
-            later[: x + 1] = False
-        if not later.any():
-            continue
-        own = column[starts[x] : starts[x] + n[x]]
-        mark[own] = 1
-        both = np.add.reduceat(mark[column], starts)
-        mark[own] = 0
-        for y in np.flatnonzero(later & (100 * both >= p.percent * (n + n[x] - both))):
-            if label[y] != label[x]:
-                yield max(ids[x], ids[y]), min(ids[x], ids[y])
-                label[label == label[y]] = label[x]
+    return rows.select("c", "role", "i", "set").mapInArrow(lambda b: _verify(b, p), "u long, v long")
+
+
+class _Block:
+    """The outsiders of one block of one band, and the components that its links have joined."""
+
+    def __init__(self):
+        self.ids, self.labels, self.sets, self.root, self.ready = [], [], [], {}, False
+
+    def add(self, i: int, label: int, s: np.ndarray) -> None:
+        self.ids.append(i), self.labels.append(label), self.sets.append(s)
+
+    def find(self, label: int) -> int:
+        while (up := self.root.get(label, label)) != label:
+            self.root[label] = self.root.get(up, up)
+            label = up
+        return label
+
+    def _index(self) -> None:
+        self.sizes = np.array([len(s) for s in self.sets])
+        owner = np.repeat(np.arange(len(self.sets)), self.sizes)
+        flat = np.concatenate(self.sets)
+        order = np.argsort(flat, kind="stable")
+        self.owner = owner[order]
+        self.values, self.starts = np.unique(flat[order], return_index=True)
+        self.counts = np.diff(np.append(self.starts, len(flat)))
+        self.ready = True
+
+    def links(self, i: int, label: int, s: np.ndarray, p: Params):
+        """Links of a member that passes by, at most one for each component that it joins."""
+        if not self.ready:
+            self._index()
+        if not len(self.values):
+            return
+        near = 100 * np.minimum(self.sizes, len(s)) >= p.percent * np.maximum(self.sizes, len(s))
+        if not near.any():
+            return
+        at = np.minimum(np.searchsorted(self.values, s), len(self.values) - 1)
+        at = at[self.values[at] == s]
+        n = self.counts[at]
+        spots = np.repeat(self.starts[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        both = np.bincount(self.owner[spots], minlength=len(self.sets))
+        for y in np.flatnonzero(near & (100 * both >= p.percent * (self.sizes + len(s) - both))):
+            a, b = self.find(label), self.find(self.labels[y])
+            if a != b:
+                self.root[max(a, b)] = min(a, b)
+                yield max(i, self.ids[y]), min(i, self.ids[y])
 
 
 def _blocks(batches, p: Params):
-    """``u, v`` of groups of (key, lo, hi), the rows sorted by these."""
-    held: pd.DataFrame | None = None
-    known: dict[int, np.ndarray] = {}
-
-    def out(frame: pd.DataFrame, whole: bool):
-        cut = _runs([frame[c].to_numpy() for c in ("key", "lo", "hi")])
-        ends = list(zip(cut[:-1], cut[1:]))
-        rest = None if whole else frame.iloc[ends[-1][0] :]
-        found = {x for a, b in (ends if whole else ends[:-1]) for x in _joins(frame.iloc[a:b], known, p)}
-        return pd.DataFrame(sorted(found), columns=["u", "v"]).astype("int64"), rest
-
-    for frame in batches:
-        if not len(frame):
-            continue
-        found, held = out(frame if held is None else pd.concat([held, frame], ignore_index=True), False)
-        yield found
-    if held is not None and len(held):
-        yield out(held, True)[0]
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params | None = None) -> DataFrame:
-    """``id, n_shingles, component_id, kept`` for every row of ``docs``."""
+    """``u, v`` of rows sorted by key, block, part and role: a block's outsiders, then the members that pass by."""
+    block, of = None, None
+    for batch in batches:
+        found = set()
+        columns = [batch.column(i).to_pylist() for i in range(6)]
+        for key, number, part, role, i, label, data in zip(*columns, batch.column(6)):
+            if of != (key, number, part):
+                block, of = _Block(), (key, number, part)
+            if role == 0:
+                block.add(i, label, _set(data))
+            else:
+                found.update(block.links(i, label, _set(data), p))
+        u, v = zip(*sorted(found)) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+
+def one_text(docs: DataFrame, id_col: str, text_col: str, p: Params, stash: Stash) -> tuple[DataFrame, DataFrame | None]:
+    """``id, text`` with one row for each id (and all rows without one), and the ids that repeat with their rows' number."""
+    texts = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
+    again = stash.put(texts.filter("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"))
+    if again.isEmpty():
+        return texts, None
+    ids = _few(again.select("id"), p.broadcast_ids)
+    repeated = texts.join(ids, "id", "left_semi").groupBy("id").agg(F.max("text").alias("text"))
+    return texts.join(ids, "id", "left_anti").unionByName(repeated), again
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p: Params | None = None, stash: Stash | None = None) -> DataFrame:
+    """``id, n_shingles, component_id, kept`` for every row of ``docs``; it reads tables of ``stash``."""
     p = p or Params()
-    stash = Stash(docs.sparkSession)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    stash = stash or Stash(docs.sparkSession)
+    texts, again = one_text(docs, id_col, text_col, p, stash)
     rows = stash.put(texts.mapInArrow(lambda b: _sketches(b, p), "id long, n long, print binary, bands array<long>"))
     # classes of equal sets
     copies = stash.put(rows.filter("id IS NOT NULL AND n > 0").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
     member = stash.put(rows.select("id", "n", "print").join(copies, "print", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
     # rows of copies that stand for no class; few beside the others, and never the others' bands
-    idle = stash.put(member.filter("id <> rep").select("id").distinct())
-    reps = rows.filter("id IS NOT NULL AND n > 0").join(_few(idle, p.broadcast_ids), "id", "left_anti").dropDuplicates(["id"])
-    reps = stash.put(reps.select("id", "n", "bands"))
+    idle = stash.put(member.filter("id <> rep").select("id"))
+    reps = stash.put(rows.filter("id IS NOT NULL AND n > 0").join(_few(idle, p.broadcast_ids), "id", "left_anti").select("id", "n", "bands"))
     # bands shared by two classes or more
     banded = reps.select("id", "n", F.explode("bands").alias("key"))
     shared = stash.put(banded.groupBy("key").agg(F.min("id").alias("c"), F.count(F.lit(1)).alias("size")).filter("size > 1"))
     members = stash.put(banded.join(shared, "key").select("key", "id", "n", "c"))
     pairs = stash.put(members.filter("id <> c").select("c", F.col("id").alias("i")).distinct())
-    edges = stash.put(verified(pairs, texts, p, stash))
+    ids = stash.put(members.select("id").distinct())
+    sets = stash.put(texts.join(_few(ids, p.broadcast_ids), "id", "left_semi").mapInArrow(lambda b: _sets(b, p), "id long, set binary"))
+    edges = stash.put(verified(pairs, sets, p, stash))
     label = components(edges, stash)
 
     # bands that still hold several components
     at = stash.put(members.join(label, members.id == label.node, "left").select("key", "id", "n", F.coalesce("component", "id").alias("component")))
-    total, rows_ = F.sum("n"), F.count(F.lit(1))
-    mixed = at.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.ceil(F.greatest(rows_ / p.block, total / p.block_shingles)).cast("int").alias("nb"))
-    mixed = stash.put(mixed.filter("a < b").select("key", "nb"))
-    left = stash.put(at.join(mixed, "key").select("key", "nb", "id", "component", F.pmod(F.xxhash64("id", "key"), F.col("nb")).cast("int").alias("block")))
+    groups = at.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("n"))
+    mixed = groups.groupBy("key").agg(F.count(F.lit(1)).alias("groups"), F.sum("size").alias("all"), F.sum("n").alias("total"), F.max(F.struct("size", "n", "component")).alias("main")).filter("groups > 1")
+    out_rows, out_n = F.col("all") - F.col("main.size"), F.col("total") - F.col("main.n")
+    parts = F.ceil(F.greatest(F.col("all") / p.passing, F.col("total") / (p.passing * 64)))
+    mixed = stash.put(mixed.select("key", F.col("main.component").alias("main"), F.ceil(F.greatest(out_rows / p.block, out_n / p.block_shingles)).cast("int").alias("nb"), parts.cast("int").alias("np")))
+    left = stash.put(at.join(mixed, "key"))
     if not left.isEmpty():
-        wanted = stash.put(left.select("id").distinct())
-        own = stash.put(texts.join(_few(wanted, p.broadcast_ids), "id", "left_semi").dropDuplicates(["id"]))
-        laid = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        laid = laid.select("key", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), "block", "id", "component").join(own, "id")
-        laid = laid.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-        joins = laid.select("key", "lo", "hi", "block", "id", "component", "text").mapInPandas(lambda b: _blocks(b, p), "u long, v long")
+        numbered = lambda salt, of: F.pmod(F.xxhash64("id", "key", F.lit(salt)), F.col(of)).cast("int")
+        every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+        outside = left.filter("component <> main").select("key", numbered(0, "nb").alias("block"), every("np").alias("part"), F.lit(0).alias("role"), "id", "component")
+        passing = left.select("key", every("nb").alias("block"), numbered(1, "np").alias("part"), F.lit(1).alias("role"), "id", "component")
+        laid = outside.union(passing).join(sets, "id").repartition("key", "block", "part").sortWithinPartitions("key", "block", "part", "role")
+        joins = laid.select("key", "block", "part", "role", "id", "component", "set").mapInArrow(lambda b: _blocks(b, p), "u long, v long")
         edges = stash.put(edges.union(joins.distinct()))
         label = components(edges, stash)
     joined = member.join(label, member.rep == label.node, "left")
     component = F.coalesce("component", "rep")
-    return joined.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    out = joined.select("id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    if again is None:
+        return out
+    out = stash.put(out)
+    more = out.join(_few(again, p.broadcast_ids), "id").withColumn("copy", F.explode(F.expr("sequence(2L, rows)")))
+    return out.unionByName(more.select(*out.columns))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8): the smallest id."""
     p, stash = Params(), Stash(spark)
-    judged = stash.put(near_duplicates(docs, p=p))
+    judged = stash.put(near_duplicates(docs, p=p, stash=stash))
     gone = judged.filter("NOT kept").select(F.col("id").alias("doc_id")).distinct()
     out = docs.join(_few(gone, p.broadcast_ids), "doc_id", "left_anti")
     again = stash.put(judged.filter("id IS NOT NULL").groupBy("id").count().filter("count > 1").select(F.col("id").alias("doc_id")))
-    if not again.isEmpty():  # rows that repeat an id
-        repeated = out.join(_few(again, p.broadcast_ids), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        out = out.join(_few(again, p.broadcast_ids), "doc_id", "left_anti").unionByName(repeated)
-    return out.select(*docs.columns)
+    if not again.isEmpty():  # rows that repeat an id: the greatest text stays, as it was judged
+        repeated = out.join(_few(again, p.broadcast_ids), "doc_id", "left_semi")
+        first = repeated.groupBy("doc_id").agg(F.max_by(F.struct(*own(docs)), F.struct("text", F.to_json(F.struct(*own(docs))))).alias("row")).select("row.*")
+        out = out.join(_few(again, p.broadcast_ids), "doc_id", "left_anti").unionByName(first)
+    return out.select(*own(docs))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

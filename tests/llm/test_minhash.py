@@ -6,6 +6,8 @@ import numpy as np
 import pytest
 
 from beaconry.llm import minhash as m
+from beaconry.llm.common import Stash
+from beaconry.llm.graph import Unsettled, components
 
 
 def brute(texts, k, percent=80):
@@ -44,7 +46,7 @@ def corpus(seed=3):
 def test_groups(spark, k, block):
     texts = corpus()
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(texts)], "doc_id long, text string, id string, n int")
-    got = m.near_duplicates(docs, p=m.Params(words=k, block=block, star=3, broadcast_ids=0 if block == 7 else 1000))
+    got = m.near_duplicates(docs, p=m.Params(words=k, block=block, star=3, passing=8192 if block == 512 else 5, broadcast_ids=0 if block == 7 else 1000))
     want = [(i, n, c, i == c) for i, (n, c) in enumerate(brute(texts, k))]
     assert sorted(map(tuple, got.collect())) == want
 
@@ -67,3 +69,18 @@ def test_empty_and_repeated(spark):
     assert m.near_duplicates(docs.limit(0)).count() == 0
     kept = m.stage(spark, docs.union(docs.filter("doc_id = 3")), "")
     assert kept.columns == docs.columns and sorted((str(r["doc_id"]) for r in kept.collect())) == ["3", "8", "None"]
+
+
+def test_one_text_for_each_id(spark):
+    """Sketch, set and stage speak of the same text of an id, the greatest."""
+    a, b = "a b c d e f g h i j", "z y x w v u t s r q"
+    docs = spark.createDataFrame([(1, a), (1, b), (2, b), (3, a), (4, None), (4, a)], "doc_id long, text string")
+    assert sorted(map(tuple, m.near_duplicates(docs).collect())) == [(1, 6, 1, True), (1, 6, 1, True), (2, 6, 1, False), (3, 6, 3, True), (4, 6, 3, False), (4, 6, 3, False)]
+    assert sorted(map(tuple, m.stage(spark, docs, "").collect())) == [(1, b), (3, a)]
+
+
+def test_a_long_chain_is_one_component(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(300)], "u long, v long")
+    assert {r["component"] for r in components(edges, Stash(spark)).collect()} == {0}
+    with pytest.raises(Unsettled):
+        components(edges, Stash(spark), most=2)
