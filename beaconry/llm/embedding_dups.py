@@ -6,14 +6,16 @@ Hadamard transform; its hash is the axis and sign of the largest coordinate. A t
 that differ in the one hash with the closest second choice (``probes`` of them). Every candidate pair is
 verified by its cosine in double precision. Equal vectors form one class first and count as many.
 
-Keys with many members are compared in blocks of bounded size. A pair that meets under several keys is
-counted at the first of them only, which both rows can tell from the keys they carry, so a block returns
-one count per row and the rows' components, never its pairs.
+A key's members are compared in cells of bounded size: up to ``block`` members are one cell, more of them are dealt into
+blocks and each pair of blocks is a cell, so a row is copied once for every ``block`` members of its key. Cells of a few
+rows are worked off together, larger ones in tiles of a matrix product. A pair that meets under several keys is counted at
+the first of them only, which both rows can tell from the keys they carry, so a cell returns one count per row and the
+rows' components, never its pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those with a null
-label or id, link with nothing; equal rows that repeat an id are one vector; vectors of different
-dimensions don't link; an empty table gives no rows; other columns aren't read. With 12 tables of 3 hashes
-and 4 probes the recall measured against brute force is over 0.999 (see the tests and the README).
+label or id, link with nothing; rows that repeat an id are one vector, of its usable ones that with the least print, and each
+row returns its result; vectors of different dimensions don't link; an empty table gives no rows; other columns aren't read.
+With 12 tables of 3 hashes and 4 probes the recall measured against brute force is over 0.999 (see the tests and the README).
 """
 
 from __future__ import annotations
@@ -21,15 +23,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash
+from .common import Stash, quoted
 from .graph import components
-from .minhash import _few, _runs, mix
+from .minhash import _few, mix
 
 U = np.uint64
 
@@ -40,7 +42,11 @@ class Params:
     tables: int = 12
     hashes: int = 3
     probes: int = 4
-    block: int = 256
+    #: Rows of a key's block; rows of a cell that is worked off with others; rows that are hashed, and pairs tested, at once.
+    block: int = 2048
+    small: int = 48
+    chunk: int = 1024
+    pairs: int = 50_000
     seed: int = 11
     broadcast_ids: int = 500_000
 
@@ -98,91 +104,174 @@ def keys_of(unit: np.ndarray, labels: np.ndarray, p: Params) -> np.ndarray:
 
 
 def _hashed(batches, p: Params):
-    """``id, print, vector, keys`` of the vectors that can link."""
+    """``id, print, vector, keys`` of the vectors that can link; vector: the values as they were, 32 or 64 bits each."""
     for batch in batches:
-        groups: dict[int, list] = {}
-        for i, v, label in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            if i is None or label is None or not v or None in v:
-                continue
-            x = np.array(v, np.float64)
-            norm = float(np.linalg.norm(x)) if np.isfinite(x).all() else 0.0
-            if norm > 0 and np.isfinite(norm):
-                groups.setdefault(len(v), []).append((i, label, x, x / norm))
-        for rows in groups.values():
-            unit = np.stack([r[3] for r in rows])
-            keys = keys_of(unit, np.array([r[1] for r in rows], np.int64), p)
-            prints = [xxhash.xxh3_128_digest(np.int64(r[1]).tobytes() + (r[2] + 0.0).tobytes()) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array(prints, pa.binary()), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(list(keys.reshape(len(rows), -1)), pa.list_(pa.int64()))],
-                ["id", "print", "vector", "keys"],
-            )
-
-
-def _pairs_of(g: pd.DataFrame, p: Params):
-    """Counts and component labels of one block pair of one key."""
-    key, lo, hi = int(g["key"].iloc[0]), g["lo"].iloc[0], g["hi"].iloc[0]
-    ids, many, block = g["id"].to_numpy(), g["many"].to_numpy(), g["block"].to_numpy()
-    unit = np.frombuffer(b"".join(g["vector"]), np.float64).reshape(len(g), -1)
-    near = unit @ unit.T >= p.least
-    np.fill_diagonal(near, False)
-    if lo != hi:
-        near &= block[:, None] != block[None, :]
-    keys = np.stack(g["keys"].to_list()).reshape(len(g), p.tables, 1 + p.probes)
-    own = keys[:, :, 0]
-    t = int(np.argwhere(keys[0] == key)[0][0])
-    x, y = np.nonzero(np.triu(near))
-    mine = own[:, t] == key
-    ok = mine[x] | mine[y]
-    x, y = x[ok], y[ok]
-    near = np.zeros_like(near)
-    near[x, y] = near[y, x] = True
-    label = ids.copy()
-    while True:
-        now = np.minimum(label, np.where(near, label[None, :], label.max()).min(axis=1))
-        if (now == label).all():
-            break
-        label = now
-    first = np.ones(len(x), bool)
-    for s in range(t):  # met in an earlier table
-        first &= ~((own[x, s][:, None] == keys[y, s]).any(axis=1) | (own[y, s][:, None] == keys[x, s]).any(axis=1))
-    for a, b in ((x, y), (y, x)):  # met under a smaller key of this table
-        first &= ~((own[a, t] < key) & (own[a, t][:, None] == keys[b, t]).any(axis=1))
-    links = np.bincount(x[first], many[y[first]], len(g)) + np.bincount(y[first], many[x[first]], len(g))
-    told = (links > 0) | (label != ids)
-    return ids[told], links[told].astype(np.int64), label[told]
-
-
-def _linked(batches, p: Params):
+        column = batch.column(1)
+        if pa.types.is_fixed_size_list(column.type):
+            column = column.cast(pa.list_(column.type.value_type))
+        values = pc.list_flatten(column)
+        raw = np.float32 if pa.types.is_float32(values.type) else np.float64
+        values = values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # a null is a NaN
+        lengths = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        ids, labels = batch.column(0), batch.column(2)
+        known = ids.is_valid().to_numpy(zero_copy_only=False) & labels.is_valid().to_numpy(zero_copy_only=False) & (lengths > 0)
+        ids, labels = (pc.fill_null(c, 0).to_numpy() for c in (ids, labels))
+        for d in np.unique(lengths[known]):
+            every = np.flatnonzero(known & (lengths == d))
+            for lo in range(0, len(every), p.chunk):
+                rows = every[lo : lo + p.chunk]
+                x = values[starts[rows][:, None] + np.arange(d)]
+                norm = np.linalg.norm(np.where(np.isfinite(x), x, 0.0), axis=1)
+                good = np.isfinite(x).all(axis=1) & (norm > 0) & np.isfinite(norm)
+                rows, x, norm = rows[good], x[good] + 0.0, norm[good]
+                if not len(rows):
+                    continue
+                keys = keys_of(x / norm[:, None], labels[rows], p)
+                data = [v.tobytes() for v in x.astype(raw)]
+                prints = [xxhash.xxh3_128_digest(np.int64(n).tobytes() + v) for n, v in zip(labels[rows], data)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids[rows]), pa.array(prints, pa.binary()), pa.array(data, pa.binary()), pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * keys[0].size, keys.ravel())],
+                    ["id", "print", "vector", "keys"],
+                )
+
+
+class _Cells:
+    """Whole cells of one dimension, rows sorted by cell and id, and what is found in them."""
+
+    def __init__(self, columns: dict, raw, p: Params):
+        self.p, self.key, self.block, self.many, self.ids = p, columns["key"], columns["block"], columns["many"], columns["id"]
+        self.across = columns["lo"] != columns["hi"]
+        x = np.frombuffer(b"".join(columns["vector"]), raw).reshape(len(self.ids), -1).astype(np.float64)
+        self.unit = x / np.linalg.norm(x, axis=1)[:, None]
+        self.keys = columns["keys"].reshape(len(self.ids), p.tables, 1 + p.probes)
+        self.own = self.keys[:, :, 0]
+        self.table = (self.keys == self.key[:, None, None]).any(axis=2).argmax(axis=1)
+        self.mine = self.own[np.arange(len(self.ids)), self.table] == self.key
+        self.links = np.zeros(len(self.ids), np.int64)
+        self.root = np.arange(len(self.ids))
+
+    def meets(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Pairs that this key is to compare: one has it as its own, and blocks differ where two blocks meet."""
+        return (self.mine[x] | self.mine[y]) & (~self.across[x] | (self.block[x] != self.block[y]))
+
+    def count(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Near pairs: those that haven't met before are links."""
+        t, key = self.table[x], self.key[x]
+        first = np.ones(len(x), bool)
+        for s in range(int(t.max()) if len(t) else 0):  # met in an earlier table
+            met = (self.own[x, s][:, None] == self.keys[y, s]).any(axis=1) | (self.own[y, s][:, None] == self.keys[x, s]).any(axis=1)
+            first &= ~(met & (s < t))
+        for a, b in ((x, y), (y, x)):  # met under a smaller key of this table
+            mine = self.own[a, t]
+            first &= ~((mine < key) & (mine[:, None] == self.keys[b, t]).any(axis=1))
+        x, y = x[first], y[first]
+        np.add.at(self.links, x, self.many[y]), np.add.at(self.links, y, self.many[x])
+        x, y = self.root[x], self.root[y]
+        while (x != y).any():
+            np.minimum.at(self.root, np.maximum(x, y), np.minimum(x, y))
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+            x, y = self.root[x], self.root[y]
+
+    def small(self, starts: np.ndarray, sizes: np.ndarray) -> None:
+        for size in np.unique(sizes):
+            i, j = np.triu_indices(size, 1)
+            step = max(1, self.p.pairs // len(i))
+            of = starts[sizes == size]
+            for lo in range(0, len(of), step):
+                x, y = ((of[lo : lo + step, None] + k).ravel() for k in (i, j))
+                meets = self.meets(x, y)
+                x, y = x[meets], y[meets]
+                near = np.einsum("ij,ij->i", self.unit[x], self.unit[y]) >= self.p.least
+                self.count(x[near], y[near])
+
+    def large(self, start: int, end: int) -> None:
+        for lo in range(start, end, 512):
+            near = self.unit[lo : min(lo + 512, end)] @ self.unit[start:end].T >= self.p.least
+            x, y = np.nonzero(near)
+            x, y = x + lo, y + start
+            later = y > x
+            x, y = x[later], y[later]
+            for at in range(0, len(x), 20 * self.p.pairs):
+                a, b = x[at : at + 20 * self.p.pairs], y[at : at + 20 * self.p.pairs]
+                meets = self.meets(a, b)
+                self.count(a[meets], b[meets])
+
+    def told(self) -> list[np.ndarray]:
+        told = (self.links > 0) | (self.root != np.arange(len(self.ids)))
+        return [self.ids[told], self.links[told], self.ids[self.root[told]]]
+
+
+_CELL = ("key", "lo", "hi")
+
+
+def _work_off(batch: pa.RecordBatch, raw, p: Params) -> list[np.ndarray]:
+    columns = {c: batch.column(c).to_numpy() for c in (*_CELL, "block", "id", "many")}
+    vectors = batch.column("vector")
+    keys = batch.column("keys").flatten().to_numpy().reshape(batch.num_rows, -1)
+    lengths = pc.binary_length(vectors).to_numpy()
+    out = []
+    for d in np.unique(lengths):
+        at = np.flatnonzero(lengths == d)
+        part = {c: v[at] for c, v in columns.items()}
+        cells = _Cells(part | {"vector": vectors.take(pa.array(at)).to_pylist(), "keys": keys[at]}, raw, p)
+        change = np.ones(len(at), bool)
+        change[1:] = np.any([part[c][1:] != part[c][:-1] for c in _CELL], axis=0)
+        starts = np.flatnonzero(change)
+        sizes = np.diff(np.append(starts, len(at)))
+        few = (sizes > 1) & (sizes <= p.small)
+        cells.small(starts[few], sizes[few])
+        for start, size in zip(starts[sizes > p.small], sizes[sizes > p.small]):
+            cells.large(int(start), int(start + size))
+        out.append(cells.told())
+    return [np.concatenate(c) for c in zip(*out)]
+
+
+def _linked(batches, raw, p: Params):
+    """``id, links, label`` of rows sorted by cell; a batch's last cell waits for the next one."""
     held = None
-    names = ("key", "lo", "hi")
-
-    def out(frame, whole):
-        cut = _runs([frame[c].to_numpy() for c in names])
-        ends = list(zip(cut[:-1], cut[1:]))
-        rest = None if whole else frame.iloc[ends[-1][0] :]
-        found = [_pairs_of(frame.iloc[a:b], p) for a, b in (ends if whole else ends[:-1]) if b - a > 1]
-        columns = [np.concatenate([f[i] for f in found]) if found else np.empty(0, np.int64) for i in range(3)]
-        return pd.DataFrame(dict(zip(("id", "links", "label"), columns))), rest
-
-    for frame in batches:
-        if not len(frame):
+
+    def out(batch):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in _work_off(batch, raw, p)], ["id", "links", "label"])
+
+    for batch in batches:
+        if not batch.num_rows:
             continue
-        done, held = out(frame if held is None else pd.concat([held, frame], ignore_index=True), False)
-        yield done
+        if held is not None:
+            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        last = np.ones(batch.num_rows, bool)
+        for c in _CELL:
+            v = batch.column(c).to_numpy()
+            last &= v == v[-1]
+        cut = batch.num_rows - int(last.sum())
+        held = batch.slice(cut)
+        if cut:
+            yield out(batch.slice(0, cut))
     if held is not None:
-        yield out(held, True)[0]
+        yield out(held)
+
+
+def one_vector(rows: DataFrame, p: Params, stash: Stash) -> DataFrame:
+    """``rows`` (id, print, ...) with one row for each id: that with the least print."""
+    again = stash.put(rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("print").alias("least")).filter("n > 1"))
+    if again.isEmpty():
+        return rows
+    again = _few(again, p.broadcast_ids)
+    one = rows.join(again, "id").filter("print = least").select(*rows.columns).dropDuplicates(["id"])  # equal prints are equal rows
+    return stash.put(rows.join(again, "id", "left_anti").unionByName(one))
 
 
-def near_duplicate_vectors(table: DataFrame, id_col="vec_id", vector_col="embedding", label_col="label", p: Params | None = None) -> DataFrame:
-    """``id, n_links, component_id, kept`` for every row of ``table``."""
+def near_duplicate_vectors(table: DataFrame, id_col="vec_id", vector_col="embedding", label_col="label", p: Params | None = None, stash: Stash | None = None) -> DataFrame:
+    """``id, n_links, component_id, kept`` for every row of ``table``; it reads tables of ``stash``."""
     p = p or Params()
-    stash = Stash(table.sparkSession)
-    given = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"), F.col(label_col).cast("long").alias("label"))
-    rows = stash.put(given.mapInArrow(lambda b: _hashed(b, p), "id long, print binary, vector binary, keys array<long>"))
-    copies = stash.put(rows.select("id", "print").distinct().groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many")))
-    member = stash.put(rows.select("id", "print").distinct().join(copies, "print").select("id", "rep", "many"))
-    reps = rows.join(_few(member.filter("id <> rep").select("id"), p.broadcast_ids), "id", "left_anti").dropDuplicates(["id"])
-    reps = stash.put(reps.join(member.filter("id = rep").select("id", "many"), "id").select("id", "vector", "keys", "many"))
+    stash = stash or Stash(table.sparkSession)
+    given = table.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(vector_col)).alias("v"), F.col(quoted(label_col)).cast("long").alias("label"))
+    raw = np.float32 if given.schema["v"].dataType.simpleString() == "array<float>" else np.float64
+    rows = one_vector(stash.put(given.mapInArrow(lambda b: _hashed(b, p), "id long, print binary, vector binary, keys array<long>")), p, stash)
+    copies = stash.put(rows.groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("many")))
+    member = stash.put(rows.select("id", "print").join(copies, "print").select("id", "rep", "many"))
+    reps = stash.put(rows.join(member.filter("id = rep").select("id", "many"), "id").select("id", "vector", "keys", "many"))
     place = reps.select("id", F.explode(F.array_distinct("keys")).alias("key"))
     owned = reps.select(F.explode(F.expr(f"transform(sequence(0, {p.tables - 1}), t -> keys[t * {1 + p.probes}])")).alias("key"))
     # keys that are one vector's own and that another vector has too
@@ -192,7 +281,7 @@ def near_duplicate_vectors(table: DataFrame, id_col="vec_id", vector_col="embedd
     laid = place.join(sizes, "key").withColumn("block", F.pmod(F.xxhash64("id", "key"), F.col("nb")).cast("int"))
     laid = laid.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), "block", "id")
     full = laid.join(reps, "id").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-    found = stash.put(full.select("key", "lo", "hi", "block", "id", "many", "vector", "keys").mapInPandas(lambda b: _linked(b, p), "id long, links long, label long"))
+    found = stash.put(full.select("key", "lo", "hi", "block", "id", "many", "vector", "keys").mapInArrow(lambda b: _linked(b, raw, p), "id long, links long, label long"))
     label = components(found.filter("id > label").select(F.col("id").alias("u"), F.col("label").alias("v")).distinct(), stash)
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     known = member.join(links.withColumnRenamed("id", "rep"), "rep", "left").join(label.withColumnRenamed("node", "rep"), "rep", "left")

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from beaconry.llm import embedding_dups as e
 
@@ -34,11 +35,11 @@ def brute(rows):
     return links, comp
 
 
-@pytest.mark.parametrize("block", [256, 7])
-def test_links(spark, block):
+@pytest.mark.parametrize("block, small", [(2048, 48), (7, 48), (64, 1)])
+def test_links(spark, block, small):
     rows = vectors()
     table = spark.createDataFrame([(i, v, label, "x") for i, (v, label) in enumerate(rows)], "vec_id long, embedding array<float>, label int, keys string")
-    got = sorted(map(tuple, e.near_duplicate_vectors(table, p=e.Params(block=block)).collect()))
+    got = sorted(map(tuple, e.near_duplicate_vectors(table, p=e.Params(block=block, small=small)).collect()))
     links, comp = brute(rows)
     found, want = sum(x[1] for x in got), sum(links)
     assert found >= 0.999 * want and all(x[1] <= n for x, n in zip(got, links, strict=True))
@@ -54,3 +55,16 @@ def test_repeated_and_empty(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [2.0, 0.0], 1), (None, [1.0, 0.0], 1)], "vec_id long, embedding array<double>, label long")
     assert sorted(map(tuple, e.near_duplicate_vectors(table).collect()), key=str) == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (None, 0, None, True)]
     assert e.near_duplicate_vectors(table.limit(0)).count() == 0
+
+
+def test_one_vector_for_each_id(spark):
+    """Rows of an id are one vector, whichever it is; each row returns its result."""
+    g = np.random.default_rng(2)
+    v1, v2 = g.normal(size=32), g.normal(size=32)
+    table = spark.createDataFrame([(1, v1.tolist(), 3), (1, v2.tolist(), 3), (2, (2 * v2).tolist(), 3), (3, (v1 * 1.5).tolist(), 3), (3, None, 3), (4, [1.0], 3)], "vec_id long, embedding array<double>, label int")
+    got = [tuple(r) for r in e.near_duplicate_vectors(table).collect()]
+    assert len(got) == 6 and got.count((4, 0, 4, True)) == 1
+    one = (1, 1, 1, True)
+    assert got.count(one) == 2 and sum(x[1] for x in got if x[0] in (2, 3)) in (1, 2)
+    assert {x for x in got if x[0] in (2, 3)} in ({(2, 1, 1, False), (3, 0, 3, True)}, {(2, 0, 2, True), (3, 1, 1, False)})
+    assert sorted(got) == sorted(tuple(r) for r in e.near_duplicate_vectors(table.orderBy(F.rand(3)).repartition(5)).collect())
