@@ -16,6 +16,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Stash, quoted
+
 WORDS, SHAPES = 1 << 20, 1 << 10
 DIM = WORDS + SHAPES
 WORD_CACHE = 400_000
@@ -25,8 +27,9 @@ EDGES = b""".,;:!?"'()[]{}|#*$%&<>-_"""
 
 @dataclass(frozen=True)
 class Training:
-    #: Labelled rows at most.
+    #: Labelled rows at most, and bytes of their texts.
     rows: int = 8_000
+    bytes: int = 64 << 20
     rounds: int = 300
     rate: float = 0.1
     #: Price of a weight's size (an L1 penalty): words that don't help get none.
@@ -141,6 +144,24 @@ def probabilities(rows: Rows, w: np.ndarray, b: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def ordered_cuts(a: np.ndarray) -> np.ndarray:
+    """Increasing thresholds: the first, and the logarithms of the steps to the others."""
+    return a[0] + np.concatenate([[0.0], np.cumsum(np.exp(a[1:]))])
+
+
+def ordinal_loss(rows: Rows, y: np.ndarray, w: np.ndarray, a: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean negative log-likelihood of the grades ``y``, and its gradients by the weights and by ``a``."""
+    n = max(1, len(y))
+    c = np.concatenate([[-np.inf], ordered_cuts(a), [np.inf]])
+    z = rows.dot(w)
+    hi, lo = sigmoid(c[y + 1] - z), sigmoid(c[y] - z)
+    p = np.maximum(hi - lo, 1e-9)
+    dh, dl = hi * (1 - hi) / p, lo * (1 - lo) / p  # d log p by the upper and by the lower threshold
+    by_cut = np.array([-(dh[y == k].sum() - dl[y == k + 1].sum()) for k in range(len(a))]) / n
+    ga = np.concatenate([[by_cut.sum()], np.exp(a[1:]) * np.cumsum(by_cut[::-1])[::-1][1:]])
+    return -np.log(p).mean(), rows.back(dh - dl) / n, ga
+
+
 def fit_ordinal(rows: Rows, y: np.ndarray, grades: int, t: Training) -> tuple[np.ndarray, np.ndarray]:
     """Shared weights and increasing thresholds: P(grade <= k) = sigmoid(threshold_k - w.x)."""
     n = max(1, len(y))
@@ -148,23 +169,8 @@ def fit_ordinal(rows: Rows, y: np.ndarray, grades: int, t: Training) -> tuple[np
     share = np.clip(np.cumsum(np.bincount(y, minlength=grades))[:-1] / n, 0.01, 0.99)
     first = np.log(share / (1 - share))
     gaps = np.log(np.maximum(np.diff(first), 0.05))
-
-    def cuts(a):
-        return a[0] + np.concatenate([[0.0], np.cumsum(np.exp(a[1:]))])
-
-    def gradient(x):
-        w, a = x
-        c = np.concatenate([[-np.inf], cuts(a), [np.inf]])
-        z = rows.dot(w)
-        hi, lo = sigmoid(c[y + 1] - z), sigmoid(c[y] - z)
-        p = np.maximum(hi - lo, 1e-9)
-        dh, dl = hi * (1 - hi) / p, lo * (1 - lo) / p  # d log p by the upper and by the lower threshold
-        by_cut = np.array([-(dh[y == k].sum() - dl[y == k + 1].sum()) for k in range(grades - 1)]) / n
-        ga = np.concatenate([[by_cut.sum()], np.exp(a[1:]) * np.cumsum(by_cut[::-1])[::-1][1:]])
-        return [rows.back(dh - dl) / n, ga]
-
-    w, a = _adam([np.zeros(rows.width), np.concatenate([first[:1], gaps])], gradient, n, t)
-    return spread(w, slots), cuts(a)
+    w, a = _adam([np.zeros(rows.width), np.concatenate([first[:1], gaps])], lambda x: ordinal_loss(rows, y, *x)[1:], n, t)
+    return spread(w, slots), ordered_cuts(a)
 
 
 def tails(rows: Rows, w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
@@ -172,10 +178,25 @@ def tails(rows: Rows, w: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return sigmoid(rows.dot(w)[:, None] - cuts[None, :])
 
 
-def sample(docs: DataFrame, labels: DataFrame, rating, t: Training, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, np.ndarray]:
-    """Texts and ratings of at most ``t.rows`` labelled documents. rating: a column of ``labels``, null where unusable."""
-    named = labels.select(F.col(id_col).alias("__id"), rating.cast("int").alias("__y")).dropna().dropDuplicates(["__id"])
-    some = named.orderBy(F.xxhash64("__id"), "__id").limit(t.rows)
-    got = docs.join(F.broadcast(some), F.col(id_col) == F.col("__id")).select("__id", F.col(text_col).alias("__t"), "__y").dropDuplicates(["__id"])
-    rows = sorted(got.collect(), key=lambda r: r["__id"])
-    return [r["__t"] for r in rows], np.array([r["__y"] for r in rows], np.int64)
+def sample(docs: DataFrame, labels: DataFrame, rating, t: Training, stash: Stash, id_col: str = "doc_id", text_col: str = "text") -> tuple[list, np.ndarray]:
+    """Texts and ratings of at most ``t.rows`` labelled documents of ``t.bytes``, by the smallest hash of their id.
+
+    rating: a column of ``labels``, null where unusable. Ids with several ratings don't train; of several texts of an id the greatest does.
+    """
+    key = F.col(quoted(id_col)).alias("id")
+    named = labels.select(key, rating.cast("int").alias("y")).dropna().groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z")).filter("y = z").select("id", "y")
+    some = named.orderBy(F.xxhash64("id"), "id").limit(t.rows)
+    texts = docs.select(key, F.col(quoted(text_col)).cast("string").alias("text"))
+    got = stash.put(texts.join(F.broadcast(some), "id").groupBy("id", "y").agg(F.max("text").alias("text")))
+    sizes = got.select(F.xxhash64("id").alias("hash"), "id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("hash", "id").collect()
+    total, last = 0, None
+    for r in sizes:
+        total += r["size"]
+        if total > t.bytes:
+            break
+        last = r
+    if last is None:
+        return [], np.empty(0, np.int64)
+    at = F.xxhash64("id")
+    rows = got.filter((at < last["hash"]) | (at == last["hash"]) & (F.col("id") <= last["id"])).orderBy("id").collect()
+    return [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64)

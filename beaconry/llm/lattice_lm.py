@@ -52,7 +52,7 @@ def public_vocabulary() -> str:
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return text.encode().lower().split() if text else []
 
 
 class Lattice:
@@ -134,7 +134,7 @@ def _pieces(batches, p: Params):
     for batch in batches:
         words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
         kept = [w != END for w in words]
-        ids = model.encode([w.decode("utf-8", "replace") for w, k in zip(words, kept) if k])
+        ids = model.encode([w.decode("utf-8") for w, k in zip(words, kept) if k])
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter((i for x in ids for i in x), np.int64, int(lengths.sum()))
         total += np.bincount(flat, weights=np.repeat(counts[np.array(kept, bool)], lengths), minlength=len(total)).astype(np.int64)
@@ -148,7 +148,7 @@ def _score_words(batches, p: Params, counts):
     model = lattice(p.vocabulary, counts.value)
     end = float(np.log((counts.value[vocabulary(p.vocabulary).eos_id()] + 1) / (counts.value.sum() + len(counts.value))))
     for batch in batches:
-        lp = [end if w == END else model.word(w.decode("utf-8", "surrogatepass")) for w in batch.column(0).to_pylist()]
+        lp = [end if w == END else model.word(w.decode("utf-8")) for w in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.array(lp) / math.log(10), pa.float64())], ["word", "c", "lp"])
 
 

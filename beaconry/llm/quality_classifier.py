@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import Stash, fresh, own, quoted
 from .hashed_text import DIM, Rows, Training, fit_ordinal, sample, tails
 
 GRADES = 3
@@ -45,11 +45,11 @@ def grade(docs: DataFrame, labels: DataFrame, params: Params | None = None, text
     """``docs`` with a struct (its name is returned too): expected_grade, tail_probability, kept."""
     params = params or Params()
     rating = F.when(F.col("quality").isin(0, 1) & F.col("toxic").isin(0, 1), F.col("quality") + 1 - F.col("toxic"))
-    texts, y = sample(docs, labels, rating, params.training, id_col, text_col)
+    texts, y = sample(docs, labels, rating, params.training, Stash(docs.sparkSession), id_col, text_col)
     model = fit_ordinal(Rows(texts), y, GRADES, params.training) if len(y) else (np.zeros(DIM), np.array([-1.0, 0.0]))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = fresh(docs, "__grade")
-    inner = docs.select(F.col(text_col).cast("string").alias("x"), F.struct(*docs.columns).alias("row"))
+    inner = docs.select(F.col(quoted(text_col)).cast("string").alias("x"), F.struct(*own(docs)).alias("row"))
     schema = inner.select(F.lit(0.0).alias("expected"), F.lit(0.0).alias("tail"), "row").schema
     graded = inner.mapInArrow(lambda b: _graded(b, shared), schema)
     return graded.select("row.*", F.struct(F.col("expected").alias("expected_grade"), F.col("tail").alias("tail_probability"), (F.col("tail") >= params.least).alias("kept")).alias(out)), out

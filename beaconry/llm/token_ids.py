@@ -1,20 +1,23 @@
 """Token-id output: texts to ids, ids to Simple-8b segments in a shard table, and back.
 
-The shard table is Parquet in the shared folder, one row per segment: its place (shard, segment), the ids
-and token counts of its documents in order, and the coded ids (see ``simple8b``). Spark's writer
-commits it, so a lost executor's attempts leave nothing behind, and any store that Spark writes will do.
-Documents are dealt by ranges of their id and sorted inside a range, so shard and segment order is id order.
+A shard table is a folder: ``segments`` is Parquet with one row per segment, its place (shard, segment), the ids
+and token counts of its documents in order, and the coded ids (see ``simple8b``); ``manifest`` is written after it, with each
+segment's place, documents, ids and first id, and the vocabulary (file name and checksum), end id and block size. Spark's
+writer commits both, so a lost executor's attempts leave nothing behind, and any store that Spark writes will do. ``read_shards``
+opens the folder in any session. Documents are dealt by ranges of their id (rows of one id by their texts' hash too) and sorted
+inside a range, so shard and segment order is id order.
 
 Encoding goes through the tokenizers library. A text is cut at single blanks between two characters that
 aren't white space: the vocabulary's pre-tokenizer always starts a new token there, so each piece encodes
 alone as it does in place, and a worker encodes a piece once and remembers it (a bounded number of pieces).
 
 Defined results: a null text is an empty one, which is the end id alone; rows that repeat an id stay rows,
-ordered by text; a null id sorts first; an empty table gives an empty table; other columns aren't read.
+ordered by their texts' hash, then text; a null id sorts first; an empty table gives an empty table; other columns aren't read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 import zlib
@@ -27,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import Stash
+from .common import Stash, quoted, whole_text
 
 #: Pieces that a worker remembers in each of two generations; a piece that is met again moves to the young one.
 CACHE = 450_000
@@ -162,22 +165,69 @@ def _segments(batches, p: Params):
         yield row()
 
 
-def write_shards(docs: DataFrame, stash: Stash, p: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write the shard table of ``docs`` and return it as read back."""
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    ordered = texts.repartitionByRange("id").sortWithinPartitions("id", "text")
-    return stash.put(ordered.mapInArrow(lambda b: _segments(b, p), SEGMENTS))
+def _counted(batches, p: Params):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
+            n = [len(x) // 4 + 1 for x in encoder(p.tokenizer).batch(part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["id", "n"])
+
+
+def _encoded(batches, p: Params):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 1000):
+            part = batch.slice(lo, 1000)
+            ids = [np.append(np.frombuffer(x, "<u4"), p.end_id).astype(np.int32) for x in encoder(p.tokenizer).batch(part.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(quoted(id_col)).cast("long").alias("id"), whole_text(text_col).alias("text"))
 
 
-def with_starts(shards: DataFrame, p: Params) -> DataFrame:
-    """The shard table with ``start``: the number of ids before each segment."""
-    places = shards.select("shard", "segment", "n_ids")
-    totals = places.groupBy("shard").agg(F.sum("n_ids").alias("total"))  # one row per shard: few
+def lengths(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, n``: each row's number of ids, its end id included."""
+    return _texts(docs, id_col, text_col).mapInArrow(lambda b: _counted(b, p), "id long, n long")
+
+
+def encoded(docs: DataFrame, p: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id, ids``: each row's ids, its end id included."""
+    return _texts(docs, id_col, text_col).mapInArrow(lambda b: _encoded(b, p), "id long, ids array<int>")
+
+
+def write_shards(docs: DataFrame, path: str, p: Params, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Write the shard table of ``docs`` into the folder ``path`` and return it as ``read_shards`` does."""
+    spark = docs.sparkSession
+    ordered = _texts(docs, id_col, text_col).withColumn("hash", F.xxhash64("text")).repartitionByRange("id", "hash").sortWithinPartitions("id", "hash", "text")
+    ordered.select("id", "text").mapInArrow(lambda b: _segments(b, p), SEGMENTS).write.parquet(f"{path}/segments")
+    segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
+    with open(p.tokenizer, "rb") as f:
+        known = {"vocabulary": os.path.basename(p.tokenizer), "vocabulary_sha256": hashlib.sha256(f.read()).hexdigest(), "end_id": p.end_id, "block": p.block}
+    _starts(segments).select("*", *[F.lit(v).alias(k) for k, v in known.items()]).write.parquet(f"{path}/manifest")
+    return read_shards(spark, path, p.broadcast_segments)
+
+
+def _starts(shards: DataFrame) -> DataFrame:
+    """Each segment's place, documents and ids, and ``start``: the number of ids before it."""
+    places = shards.select("shard", "segment", "n_ids", F.size("lengths").alias("n_docs"))
+    totals = places.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     upto = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    # one window over all shards: a row for each, as many as the writer had tasks
     first = totals.select("shard", F.coalesce(F.sum("total").over(upto(Window.orderBy("shard"))), F.lit(0)).alias("first"))
-    inside = places.select("shard", "segment", F.coalesce(F.sum("n_ids").over(upto(Window.partitionBy("shard").orderBy("segment"))), F.lit(0)).alias("inside"))
-    starts = inside.join(first, "shard").select("shard", "segment", (F.col("first") + F.col("inside")).alias("start"))
-    return shards.join(F.broadcast(starts) if places.count() <= p.broadcast_segments else starts, ["shard", "segment"])
+    inside = places.withColumn("inside", F.coalesce(F.sum("n_ids").over(upto(Window.partitionBy("shard").orderBy("segment"))), F.lit(0)))
+    return inside.join(first, "shard").select("shard", "segment", "n_docs", "n_ids", (F.col("first") + F.col("inside")).alias("start"))
+
+
+def read_shards(spark: SparkSession, path: str, broadcast_segments: int = 1_000_000) -> DataFrame:
+    """The segments of a shard table with their starts; fails if the table was never finished."""
+    manifest = spark.read.parquet(f"{path}/manifest").select("shard", "segment", "start")
+    segments = spark.read.schema(SEGMENTS).parquet(f"{path}/segments")
+    return segments.join(F.broadcast(manifest) if manifest.count() <= broadcast_segments else manifest, ["shard", "segment"])
+
+
+def documents(shards: DataFrame) -> DataFrame:
+    """``doc_id, start, n_tokens, ids_crc32`` of every document of a shard table."""
+    return shards.select("start", "doc_ids", "lengths", "coded").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _documents(batches):
@@ -192,9 +242,8 @@ def _documents(batches):
 
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row of ``documents``, written as shards and read back."""
-    p = Params(public_vocabulary())
-    shards = write_shards(spark.read.parquet(f"{sf_dir}/documents.parquet"), Stash(spark), p)
-    return with_starts(shards, p).select("start", "doc_ids", "lengths", "coded").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return documents(write_shards(docs, Stash(spark).place(), Params(public_vocabulary())))
 
 
 QUERIES = {"op8_token_ids": op8_token_ids}

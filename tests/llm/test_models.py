@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from beaconry.llm import hashed_text as h
 from beaconry.llm import mixing, quality_classifier
+from beaconry.llm.common import Stash
 
 
 def corpus(n=900, seed=4):
@@ -27,6 +28,62 @@ def corpus(n=900, seed=4):
 
 
 def test_ordinal_gradient():
+    """Each gradient against differences of the loss."""
+    docs, labels = corpus(60)
+    rows, _ = h.Rows([d[1] for d in docs]).common(3)
+    y = np.array([q + 1 - t for _, q, t in labels])
+    g = np.random.default_rng(1)
+    w, a = g.normal(size=rows.width) / 10, np.array([-0.7, 0.2])
+    _, gw, ga = h.ordinal_loss(rows, y, w, a)
+    loss = lambda w, a: h.ordinal_loss(rows, y, w, a)[0]
+    for i in range(0, rows.width, 17):
+        e = np.zeros(rows.width)
+        e[i] = 1e-5
+        assert gw[i] == pytest.approx((loss(w + e, a) - loss(w - e, a)) / 2e-5, abs=1e-8)
+    for i in range(2):
+        e = np.eye(2)[i] * 1e-5
+        assert ga[i] == pytest.approx((loss(w, a + e) - loss(w, a - e)) / 2e-5, abs=1e-8)
+
+
+def test_ordinal_fit_against_a_dense_one():
+    """Without the price, the fit's likelihood is that of plain gradient descent on the dense matrix."""
+    r = random.Random(3)
+    texts = [" ".join(r.choices("abcdef", k=3)) for _ in range(200)]
+    y = np.array([min(2, t.count("a") + (r.random() < 0.3)) for t in texts])
+    rows, _ = h.Rows(texts).common(3)
+    x = np.zeros((len(y), rows.width))
+    x[rows.row, rows.slots] = rows.values
+    w, c = np.zeros(rows.width), np.array([-0.5, 1.0])
+
+    def tail(w, c):
+        return np.concatenate([np.ones((len(y), 1)), 1 / (1 + np.exp(c[None, :] - (x @ w)[:, None])), np.zeros((len(y), 1))], axis=1)
+
+    def likelihood(w, c):
+        t = tail(w, c)
+        return np.log(t[np.arange(len(y)), y] - t[np.arange(len(y)), y + 1]).mean()
+
+    for _ in range(4000):
+        t = tail(w, c)
+        at, above, p = np.arange(len(y)), t * (1 - t), None
+        p = t[at, y] - t[at, y + 1]
+        w = w + 0.3 * x.T @ ((above[at, y] - above[at, y + 1]) / p) / len(y)
+        c = c + 0.3 * np.array([((y == k) * above[:, k + 1] / p - (y == k + 1) * above[:, k + 1] / p).sum() for k in range(2)]) / len(y)
+    fitted, cuts = h.fit_ordinal(h.Rows(texts), y, 3, h.Training(rounds=3000, rate=0.03, sparsity=0.0))
+    own = fitted[h.Rows(texts).common(3)[1]].astype(float)
+    assert likelihood(own, cuts) >= likelihood(w, c) - 2e-3
+
+
+def test_sample_is_bounded_and_the_same(spark):
+    docs = spark.createDataFrame([(i, "x" * 100) for i in range(50)] + [(7, "y" * 100), (8, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(9, 0), (9, 1), (8, 0), (None, 1)], "doc_id long, quality int")
+    texts, y = h.sample(docs, labels, F.col("quality"), h.Training(), Stash(spark))
+    assert len(texts) == 49 and texts[7] == "y" * 100  # 9 has two ratings
+    some, part = h.sample(docs.repartition(7), labels.repartition(3), F.col("quality"), h.Training(rows=40, bytes=1050), Stash(spark))
+    assert len(some) == 10 and len(part) == 10
+    assert h.sample(docs.limit(0), labels, F.col("quality"), h.Training(), Stash(spark))[0] == []
+
+
+def test_ordinal_fit():
     """The fit's thresholds are ordered and its likelihood beats the prior's."""
     docs, labels = corpus(300)
     rows, y = h.Rows([d[1] for d in docs]), np.array([q + 1 - t for _, q, t in labels])
@@ -73,14 +130,22 @@ def test_rates_solve_least_squares(spark):
     t = g.integers(1, 50, 60)
     members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "t long, p array<double>").cache()
     weight = np.linalg.inv((p * t[:, None]).T @ p)
-    for shares, near in (((0.4, 0.35, 0.25), 1e-4), ((0.9, 0.08, 0.02), 1e-4), ((0.999, 0.0005, 0.0005), 1e-3)):
+    for shares, near in (((0.4, 0.35, 0.25), 1e-4), ((0.7, 0.2, 0.1), 1e-4), ((0.999, 0.0005, 0.0005), 1e-3)):
         goal = np.array(shares) * t.sum()
         miss = lambda r: ((t * r) @ p - goal) @ weight @ ((t * r) @ p - goal)
         plain = np.ones(60)
         for _ in range(20_000):
             plain = np.maximum(0, plain - p @ (weight @ ((t * plain) @ p - goal)))
-        r = mixing.rates(p, mixing.solve(members, mixing.Params(targets=dict(zip("abc", shares)), rounds=100)))
-        assert (r >= 0).all() and miss(r) <= miss(plain) + near * miss(np.ones(60))
+        found = mixing.solve(members, mixing.Params(targets=dict(zip("abc", shares))), Stash(spark))
+        r, _ = mixing.rates(p, found.steps)
+        assert (r >= 0).all() and miss(r) <= miss(plain) + near * miss(np.ones(60)) and np.allclose((t * r) @ p, found.totals)
+        assert found.settled >= found.met == (found.miss <= 1e-5) and found.miss == pytest.approx(np.abs(found.totals - goal).max() / t.sum())
+        assert found.met == (miss(plain) < 1e-9 * miss(np.ones(60)))
+    # one document can't meet two targets; with too few rounds nothing is claimed
+    one = mixing.solve(spark.createDataFrame([(10, [0.5, 0.5])], "t long, p array<double>"), mixing.Params(targets={"a": 0.9, "b": 0.1}), Stash(spark))
+    assert one.settled and not one.met and one.miss == pytest.approx(0.4)
+    few = mixing.solve(members, mixing.Params(targets={"a": 0.999, "b": 0.0005, "c": 0.0005}, rounds=2), Stash(spark))
+    assert not few.settled and not few.met and few.miss > 1e-5
 
 
 def test_rare_words_count():

@@ -1,14 +1,20 @@
 """Exact round trips of the coding, and the query against encoding each text at once."""
 
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from beaconry.llm import simple8b, token_ids
 
+ROOT = str(Path(__file__).resolve().parents[2])
+
 
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**64 - 1)), max_size=400), st.integers(1, 300))
@@ -38,10 +44,31 @@ def test_query(spark, tmp_path):
     spark.createDataFrame([(i, t, 0) for i, t in texts], "doc_id long, text string, start int").write.parquet(f"{tmp_path}/documents.parquet")
     model = token_ids.Encoder(token_ids.public_vocabulary()).model
     want, start = [], 0
-    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+    hashes = {t: spark.createDataFrame([(t or "",)], "t string").select(F.xxhash64("t")).first()[0] for t in ("two  blanks\n and more", "again")}
+    for i, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, hashes.get(x[1], 0))):
         ids = model.encode(t or "", add_special_tokens=False).ids + [2]
         want.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         start += len(ids)
     assert sorted(map(tuple, token_ids.op8_token_ids(spark, str(tmp_path)).collect()), key=lambda r: r[1]) == want
     spark.createDataFrame([], "doc_id long, text string").write.parquet(f"{tmp_path}/none/documents.parquet")
     assert token_ids.op8_token_ids(spark, f"{tmp_path}/none").count() == 0
+
+
+READER = """
+import sys
+from pyspark.sql import SparkSession
+from beaconry.llm import token_ids
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+print(sorted(map(tuple, token_ids.documents(token_ids.read_shards(spark, sys.argv[1])).collect())))
+"""
+
+
+def test_another_session_reads_the_shards(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"document {i} " * (i % 5)) for i in range(40)], "doc_id long, text string")
+    p = token_ids.Params(token_ids.public_vocabulary(), segment_ids=30)
+    written = sorted(map(tuple, token_ids.documents(token_ids.write_shards(docs, str(tmp_path / "kept"), p)).collect()))
+    manifest = spark.read.parquet(str(tmp_path / "kept/manifest")).orderBy("start").collect()
+    assert [r["start"] for r in manifest] == [sum(x["n_ids"] for x in manifest[:i]) for i in range(len(manifest))] and len(manifest) > 3
+    assert {(r["vocabulary"], r["end_id"]) for r in manifest} == {("byte_bpe_50k.json", 2)} and sum(r["n_docs"] for r in manifest) == 40
+    out = subprocess.run([sys.executable, "-c", READER, str(tmp_path / "kept")], capture_output=True, text=True, cwd=ROOT, timeout=120)
+    assert eval(out.stdout.strip().splitlines()[-1]) == written, out.stderr[-500:]
