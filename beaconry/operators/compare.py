@@ -20,6 +20,7 @@ def _floats_unequal(x: Column, y: Column) -> Column:
 
 def _why(a: str, b: str, ignore_redaction: bool) -> Column:
     """The first difference of the records ``a`` and ``b`` (struct columns) in the kinds' field order; null if none."""
+    # The fields' order and names and the wording of the messages below.
     c = lambda side, path: F.col(f"{side}.{path}")
 
     def number(kind: str, field: str, get=lambda x: x) -> tuple[Column, Column]:

@@ -10,6 +10,7 @@ from ..functions.schema import ERRORS, NAMES
 
 def _rules() -> list[tuple[str, str, Column, Column]]:
     """Rule, severity, when it holds, message; a missing kind makes the condition null."""
+    # The rules' severities and messages.
     c, t = F.col, F.lit
     empty = lambda b: F.length(b) == 0
     text = lambda fmt, *a: F.format_string(fmt, *a)

@@ -153,6 +153,20 @@ def verify(spark: SparkSession, paths, key: bytes | None = None) -> DataFrame:
     return _files(spark, paths).mapInArrow(check, "path string, verdict string")
 
 
+def visit(records: DataFrame, call, order=("path", "record_index")) -> None:
+    """Call ``call`` with each record, a dict, inside the tasks: a file's records in order, in one task.
+
+    A call that returns False or raises ends the job. For entries of the tag index, visit what ``stats.lookup`` returns.
+    """
+
+    def run(rows):
+        for row in rows:
+            if call(row.asDict(recursive=True)) is False:
+                raise TelemetryError("INVAL", "stopped by the callback")
+
+    records.repartition(order[0]).sortWithinPartitions(*order).foreachPartition(run)
+
+
 def parse_rows(lines: DataFrame, form: str, line: str = "line", index: str = "record_index") -> DataFrame:
     """Rows of text (one record each) as records that keep ``index``: the distributed import."""
     schema = record_schema()

@@ -171,6 +171,20 @@ def test_generated_corpus(spark, tmp_path):
     assert bytes(r["KEYREF"]["keyref"]["label"]) == b"device-key-slot-201" and bytes(r["DIAG"]["diag"]["blob"])[0] == (0x40 + 201) % 256 and r["LOG"]["codec_id"] == 4
 
 
+def test_visit(spark, a, tmp_path):
+    """Each record of a file in order, within the tasks; a callback can end the job."""
+    log = str(tmp_path / "seen")
+
+    def note(record):
+        with open(log, "a") as f:
+            f.write(f"{record['record_index']} {record['type']}\n")
+
+    readers.visit(a, note)
+    assert [int(x.split()[0]) for x in open(log)] == list(range(22))
+    with pytest.raises(Exception, match="stopped by the callback"):
+        readers.visit(stats.lookup(stats.postings(a), 0x10), lambda r: r["record_index"] < 5)
+
+
 def test_merge_split_select(spark, a, b, tmp_path):
     m = writers.merged([a, b])
     assert m.count() == 44 and [r["section_index"] for r in m.select("section_index").distinct().orderBy("section_index").collect()] == list(range(0x10, 0x1B))

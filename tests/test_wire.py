@@ -18,6 +18,7 @@ def code_of(f, *a):
     return e.value.code
 
 
+# Payloads that the format demands, byte for byte.
 GOLDEN = [
     (0x10, "40E201002A000000", {"heartbeat": {"uptime_s": 123456, "seq": 42}}),
     (0x15, "57C9FFB0040000", {"battery": {"pct": 87, "temp_c_e1": -55, "cycles": 1200}}),
@@ -53,6 +54,7 @@ def test_record_rules():
     assert wire.count_frames(section(make_records(3))) == 11
 
 
+# Coded bytes that the codecs demand.
 CODEC_CASES = [
     (1, b"AAAAABBBC", bytes.fromhex("054103420143")), (6, b"a", b"ME======"), (2, struct.pack("<I", 16384), bytes.fromhex("808001")),
 ]
