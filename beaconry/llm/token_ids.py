@@ -55,46 +55,50 @@ def public_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+#: Stands for a piece that doesn't encode alone; neither bytes nor numbers can be joined with it.
+_NEVER = object()
+
+
 class Encoder:
-    """Texts to little-endian 32-bit ids, by the tokenizers library."""
+    """Texts to little-endian 32-bit ids, by the tokenizers library; or to their numbers of ids only."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, counts: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.known: dict[str, bytes | bool] = {}
-        self.old: dict[str, bytes | bool] = {}
+        self.counts, self.join = counts, sum if counts else b"".join
+        self.known: dict = {}
+        self.old: dict = {}
         size = self.model.get_vocab_size()
         self.stops = dict(zip(".,", self._raw([".", ","])))
         #: Whether a token starts with the blank's byte.
         self.opens = np.array([(self.model.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
 
-    def _raw(self, pieces: list[str]) -> list[bytes]:
+    def _raw(self, pieces: list[str]) -> list:
+        if self.counts:
+            return [len(e) for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _blank_led(self, pieces: list[str]) -> list[bytes]:
+    def _blank_led(self, pieces: list[str]) -> list:
         """The ids of each piece behind a blank, many pieces in one text: only a piece's first token starts with a blank."""
         (e,) = self.model.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)
         ids = np.array(e.ids, "<u4")
         cuts = np.flatnonzero(self.opens[ids])
         if len(cuts) != len(pieces):
             return self._raw([" " + p for p in pieces])
+        if self.counts:
+            return np.diff(np.append(cuts, len(ids))).tolist()
         data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
         return [data[a:b] for a, b in zip((4 * cuts).tolist(), ends)]
 
-    def batch(self, texts: list[str]) -> list[bytes]:
+    def batch(self, texts: list[str]) -> list:
         cut = [t.split(" ") for t in texts]
         firsts = [c.pop(0) for c in cut]
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
         known, old = self.known, self.old
-        rows, holes, new = [], [], set()
-        for c in cut:
-            row = list(map(known.get, c))
-            hole = [i for i, x in enumerate(row) if x is None]
-            new.update([c[i] for i in hole])
-            rows.append(row), holes.append(hole)
+        new = set().union(*cut).difference(known)
         again = new & old.keys()
         known.update(zip(again, map(old.__getitem__, again)))
         new -= again
@@ -104,38 +108,36 @@ class Encoder:
         bases = {p[:-1] for p in stopped} - known.keys()
         known.update({b: old[b] for b in bases & old.keys()})
         new |= bases - known.keys()
-        # pieces whose ends are white space don't encode alone: False
+        # pieces whose ends are white space don't encode alone
         whole = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
         for i in range(0, len(whole), JOINED):
             part = whole[i : i + JOINED]
             known.update(zip(part, self._blank_led(part)))
-        known.update(dict.fromkeys(new.difference(whole), False))
+        known.update(dict.fromkeys(new.difference(whole), _NEVER))
         known.update([(p, known[p[:-1]] + self.stops[p[-1]]) for p in stopped])
         out = []
-        for text, first, ids, c, row, hole in zip(texts, firsts, self._raw(firsts), cut, rows, holes):
-            for i, x in zip(hole, map(known.__getitem__, map(c.__getitem__, hole))):
-                row[i] = x
+        for text, first, ids, c in zip(texts, firsts, self._raw(firsts), cut):
             try:
                 if first[-1:].isspace() or (not first and c):
                     raise TypeError
-                out.append(ids + b"".join(row))
-            except TypeError:  # a False among them
+                out.append(ids + self.join(map(known.__getitem__, c)))
+            except TypeError:  # one that doesn't encode alone
                 out.append(self._careful(text))
         return out
 
-    def _careful(self, text: str) -> bytes:
+    def _careful(self, text: str):
         """A text with longer or other white space: cut only where that is sure to be the same."""
         pieces = _SAFE.split(text)
-        return b"".join(self._raw([pieces[0], *(" " + p for p in pieces[1:])]))
+        return self.join(self._raw([pieces[0], *(" " + p for p in pieces[1:])]))
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, counts: bool = False) -> Encoder:
+    if (path, counts) not in _encoders:
+        _encoders[path, counts] = Encoder(path, counts)
+    return _encoders[path, counts]
 
 
 SEGMENTS = "shard int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, coded binary"
@@ -169,7 +171,7 @@ def _counted(batches, p: Params):
     for batch in batches:
         for lo in range(0, batch.num_rows, 1000):
             part = batch.slice(lo, 1000)
-            n = [len(x) // 4 + 1 for x in encoder(p.tokenizer).batch(part.column(1).to_pylist())]
+            n = [x + 1 for x in encoder(p.tokenizer, counts=True).batch(part.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["id", "n"])
 
 

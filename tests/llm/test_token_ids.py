@@ -37,6 +37,7 @@ def test_pieces_encode_as_the_whole(text):
     e = token_ids.Encoder(token_ids.public_vocabulary())
     whole = e.model.encode(text, add_special_tokens=False).ids
     assert np.frombuffer(e.batch([text, text])[1], "<u4").tolist() == whole
+    assert token_ids.Encoder(token_ids.public_vocabulary(), counts=True).batch([text, text, text + " " + text])[:2] == [len(whole)] * 2
 
 
 def test_query(spark, tmp_path):
