@@ -128,7 +128,7 @@ def test_rates_solve_least_squares(spark):
     g = np.random.default_rng(3)
     p = g.dirichlet([0.3, 0.3, 0.3], 60)
     t = g.integers(1, 50, 60)
-    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "t long, p array<double>").cache()
+    members = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(t, p)], "t long, p array<double>").coalesce(1).cache()
     weight = np.linalg.inv((p * t[:, None]).T @ p)
     for shares, near in (((0.4, 0.35, 0.25), 1e-4), ((0.7, 0.2, 0.1), 1e-4), ((0.999, 0.0005, 0.0005), 1e-3)):
         goal = np.array(shares) * t.sum()
@@ -136,7 +136,7 @@ def test_rates_solve_least_squares(spark):
         plain = np.ones(60)
         for _ in range(20_000):
             plain = np.maximum(0, plain - p @ (weight @ ((t * plain) @ p - goal)))
-        found = mixing.solve(members, mixing.Params(targets=dict(zip("abc", shares))), Stash(spark))
+        found = mixing.solve(members, mixing.Params(targets=dict(zip("abc", shares)), rounds=60), Stash(spark))
         r, _ = mixing.rates(p, found.steps)
         assert (r >= 0).all() and miss(r) <= miss(plain) + near * miss(np.ones(60)) and np.allclose((t * r) @ p, found.totals)
         assert found.settled >= found.met == (found.miss <= 1e-5) and found.miss == pytest.approx(np.abs(found.totals - goal).max() / t.sum())
