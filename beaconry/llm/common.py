@@ -6,8 +6,10 @@ that every executor can read it and a lost executor loses nothing.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
+import ctypes
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +55,23 @@ class Stash:
             Stash.live.remove(self)
 
 
+_clear: list = []
+
+
+def sole(clear) -> None:
+    """For a task that fills its worker's cache, which ``clear`` empties: what other operators' tasks left in this worker goes first.
+
+    Spark keeps a worker for the next operator's tasks, so without this the caches of all operators of a pipeline add up.
+    """
+    if _clear and _clear[0] != clear:
+        _clear.pop()()
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # glibc only: freed memory goes back to the system
+            ctypes.CDLL(None).malloc_trim(0)
+    if not _clear:
+        _clear.append(clear)
+
+
 @contextmanager
 def scratch():
     """Removes the stashes that operators make inside: write what they return before the block ends."""

@@ -60,6 +60,10 @@ class _Slots(dict):
 _slots = _Slots()
 
 
+def forget_words() -> None:
+    _slots.clear()
+
+
 def features(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     """Slots, their values, and the number of words."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else ()

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, own, quoted
+from .common import Stash, own, quoted, sole
 from .graph import components
 
 U = np.uint64
@@ -117,6 +117,7 @@ def band_keys(coordinates: np.ndarray, p: Params) -> np.ndarray:
 
 
 def _sketches(batches, p: Params):
+    sole(_words.clear)
     for batch in batches:
         n, prints, keys = [], [], []
         for text in batch.column(1).to_pylist():
@@ -135,6 +136,7 @@ def _sketches(batches, p: Params):
 
 def _sets(batches, p: Params):
     """``id, set``: the shingles' hashes as bytes."""
+    sole(_words.clear)
     for batch in batches:
         sets = [shingle_set(t, p.words).tobytes() for t in batch.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "set"])

@@ -30,8 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, fresh, own, quoted
-from .hashed_text import DIM, Rows, Training, fit_softmax, probabilities, sample
+from .common import Stash, fresh, own, quoted, sole
+from .hashed_text import DIM, Rows, Training, fit_softmax, forget_words, probabilities, sample
 
 #: Domains by the labels (quality, toxic), with their share of tokens in the mixture.
 TARGETS = {"poor": 0.05, "poor_toxic": 0.005, "good": 0.93, "good_toxic": 0.015}
@@ -62,6 +62,7 @@ class Solution:
 
 
 def _posteriors(batches, shared, domains: int):
+    sole(forget_words)
     w, b = shared.value
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):

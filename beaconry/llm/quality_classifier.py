@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, fresh, own, quoted
-from .hashed_text import DIM, Rows, Training, fit_ordinal, sample, tails
+from .common import Stash, fresh, own, quoted, sole
+from .hashed_text import DIM, Rows, Training, fit_ordinal, forget_words, sample, tails
 
 GRADES = 3
 
@@ -33,6 +33,7 @@ class Params:
 
 
 def _graded(batches, shared):
+    sole(forget_words)
     w, cuts = shared.value
     for batch in batches:
         for lo in range(0, batch.num_rows, 500):

@@ -25,18 +25,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import Stash, quoted, whole_text
+from .common import Stash, quoted, sole, whole_text
 
 #: Pieces that a worker remembers in each of two generations; a piece that is met again moves to the young one.
-CACHE = 450_000
+CACHE = 250_000
 #: Pieces that are encoded as one text.
-JOINED = 2_000
+JOINED = 200
+#: Rows and bytes of texts that are worked off at once (a longer text alone).
+ROWS, BYTES = 2_000, 8 << 20
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Marks that are of no letter's pre-token (an apostrophe may start an English ending).
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 @dataclass(frozen=True)
@@ -55,10 +60,6 @@ def public_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-#: Stands for a piece that doesn't encode alone; neither bytes nor numbers can be joined with it.
-_NEVER = object()
-
-
 class Encoder:
     """Texts to little-endian 32-bit ids, by the tokenizers library; or to their numbers of ids only."""
 
@@ -67,62 +68,99 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.counts, self.join = counts, sum if counts else b"".join
+        self.counts, self.join, self.none = counts, sum if counts else b"".join, 0 if counts else b""
+        #: Ids of a piece behind a blank, of a piece that starts with a newline, and under " " + marks of marks behind a letter.
         self.known: dict = {}
         self.old: dict = {}
         size = self.model.get_vocab_size()
-        self.stops = dict(zip(".,", self._raw([".", ","])))
-        #: Whether a token starts with the blank's byte.
-        self.opens = np.array([(self.model.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self.added = [t.content for t in self.model.get_added_tokens_decoder().values()]
+        #: By mark, whether a token starts with it.
+        self.opens = {m: np.array([(self.model.id_to_token(i) or "").startswith(byte) for i in range(size)]) for m, byte in ((" ", "\u0120"), ("\n", "\u010a"))}
 
     def _raw(self, pieces: list[str]) -> list:
         if self.counts:
             return [len(e) for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
         return [np.array(e.ids, "<u4").tobytes() for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _blank_led(self, pieces: list[str]) -> list:
-        """The ids of each piece behind a blank, many pieces in one text: only a piece's first token starts with a blank."""
-        (e,) = self.model.encode_batch_fast([" " + " ".join(pieces)], add_special_tokens=False)
-        ids = np.array(e.ids, "<u4")
-        cuts = np.flatnonzero(self.opens[ids])
-        if len(cuts) != len(pieces):
-            return self._raw([" " + p for p in pieces])
-        if self.counts:
-            return np.diff(np.append(cuts, len(ids))).tolist()
-        data, ends = ids.tobytes(), [*(4 * cuts[1:]).tolist(), 4 * len(ids)]
-        return [data[a:b] for a, b in zip((4 * cuts).tolist(), ends)]
+    def _led(self, pieces: list[str], mark: str) -> list:
+        """The ids of pieces that ``mark`` leads, many pieces in one text: only a piece's first token starts with the mark."""
+        out = []
+        for i in range(0, len(pieces), JOINED):
+            part = pieces[i : i + JOINED]
+            (e,) = self.model.encode_batch_fast(["".join(part)], add_special_tokens=False)
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(self.opens[mark][ids])
+            if len(cuts) != len(part):
+                out += self._raw(part)
+            elif self.counts:
+                out += np.diff(np.append(cuts, len(ids))).tolist()
+            else:
+                data, at = ids.tobytes(), [*(4 * cuts).tolist(), 4 * len(ids)]
+                out += [data[a:b] for a, b in zip(at, at[1:])]
+        return out
 
-    def batch(self, texts: list[str]) -> list:
-        cut = [t.split(" ") for t in texts]
-        firsts = [c.pop(0) for c in cut]
+    def _learn(self, new: set) -> None:
+        """Remember pieces, from the old generation or from the model."""
+        again = new & self.old.keys()
+        self.known.update(zip(again, map(self.old.__getitem__, again)))
+        new -= again
+        lines, marks = [p for p in new if p[0] == "\n"], [p for p in new if p[0] == " "]
+        self.known.update(zip(lines, self._led(lines, "\n")))
+        self.known.update(zip(marks, self._raw([p[1:] for p in marks])))
+        new.difference_update(lines, marks)
+        self.known.update(zip(new, self._led([" " + p for p in new], " ")))
+
+    def _values(self, pieces: list[str]) -> list:
+        """The ids of each distinct piece; None for one that doesn't encode alone."""
         if len(self.known) > CACHE:
             self.old, self.known = self.known, {}
-        known, old = self.known, self.old
-        new = set().union(*cut).difference(known)
-        again = new & old.keys()
-        known.update(zip(again, map(old.__getitem__, again)))
-        new -= again
-        # letters and a stop are two pre-tokens: such a piece takes the ids of its letters, often known already
-        stopped = [p for p in new if p[-1:] in self.stops and p[:-1].isalpha()]
-        new.difference_update(stopped)
-        bases = {p[:-1] for p in stopped} - known.keys()
-        known.update({b: old[b] for b in bases & old.keys()})
-        new |= bases - known.keys()
-        # pieces whose ends are white space don't encode alone
-        whole = [p for p in new if p and not p[0].isspace() and not p[-1].isspace()]
-        for i in range(0, len(whole), JOINED):
-            part = whole[i : i + JOINED]
-            known.update(zip(part, self._blank_led(part)))
-        known.update(dict.fromkeys(new.difference(whole), _NEVER))
-        known.update([(p, known[p[:-1]] + self.stops[p[-1]]) for p in stopped])
-        out = []
-        for text, first, ids, c in zip(texts, firsts, self._raw(firsts), cut):
-            try:
-                if first[-1:].isspace() or (not first and c):
-                    raise TypeError
-                out.append(ids + self.join(map(known.__getitem__, c)))
-            except TypeError:  # one that doesn't encode alone
-                out.append(self._careful(text))
+        known = self.known
+        out = list(map(known.get, pieces))
+        places = [i for i, v in enumerate(out) if v is None]
+        heads, tails = [], []
+        for i in places:
+            p = pieces[i]
+            base = p.rstrip(MARKS)
+            last = base[-1:]
+            if base != p and last <= "\u024f" and last.isalpha():  # letters, then marks: two pre-tokens; the letters are often known
+                heads.append(base), tails.append(" " + p[len(base) :])
+            else:
+                heads.append(p), tails.append(None)
+        # pieces whose ends are white space don't encode alone, but for one newline that leads
+        new = {p for p in {*heads}.difference(known) if p and not p[-1].isspace() and not p[p[0] == "\n"].isspace()}
+        self._learn(new.union({*tails}.difference(known, (None,))))
+        for i, base, tail in zip(places, heads, tails):
+            v = known.get(base)
+            out[i] = v if tail is None or v is None else v + known[tail]
+        return out
+
+    def batch(self, texts) -> list:
+        """The ids of each text, of a list or an Arrow array without nulls."""
+        texts = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not len(texts):
+            return []
+        # a newline starts a new token where no other white space is beside it, as a blank does
+        cut = pc.split_pattern(pc.replace_substring(texts, "\n", " \n"), " ")
+        ends, coded = cut.offsets.to_numpy().astype(np.int64), cut.flatten().dictionary_encode()
+        starts = ends[:-1] - ends[0]
+        pieces, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy().astype(np.int64)
+        firsts, alone = [pieces[i] for i in index[starts].tolist()], (np.diff(ends) == 1).tolist()
+        index[starts] = len(pieces) + np.arange(len(firsts))  # no blank is before a text's first piece
+        values = self._values(pieces)
+        never = np.array([v is None for v in values] + [f[-1:].isspace() or not (f or one) for f, one in zip(firsts, alone)])
+        careful = np.logical_or.reduceat(never[index], starts)
+        for t in self.added:
+            careful |= pc.match_substring(texts, t).to_numpy(zero_copy_only=False)
+        values = [self.none if v is None else v for v in values] + self._raw(firsts)
+        if self.counts:
+            out = np.add.reduceat(np.array(values, np.int64)[index], starts).tolist()
+        else:
+            joined = pa.array(values, pa.large_binary()).take(pa.array(index))
+            at = np.frombuffer(joined.buffers()[1], np.int64, len(index) + 1)[np.append(starts, len(index))].tolist()
+            data = memoryview(joined.buffers()[2] or b"")
+            out = [bytes(data[a:b]) for a, b in zip(at, at[1:])]
+        for i in np.flatnonzero(careful).tolist():  # with pieces that don't encode alone
+            out[i] = self._careful(texts[i].as_py())
         return out
 
     def _careful(self, text: str):
@@ -140,10 +178,23 @@ def encoder(path: str, counts: bool = False) -> Encoder:
     return _encoders[path, counts]
 
 
+def _parts(batches):
+    """Slices of batches (id, text), of at most ROWS rows and BYTES of text, or a row."""
+    for batch in batches:
+        upto = np.cumsum(pc.binary_length(batch.column(1)).to_numpy(zero_copy_only=False).astype(np.int64))
+        lo = 0
+        while lo < batch.num_rows:
+            hi = int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + BYTES, "right"))
+            hi = min(max(hi, lo + 1), lo + ROWS)
+            yield batch.slice(lo, hi - lo)
+            lo = hi
+
+
 SEGMENTS = "shard int, segment int, n_ids long, doc_ids array<long>, lengths array<long>, coded binary"
 
 
 def _segments(batches, p: Params):
+    sole(_encoders.clear)
     shard, number, docs, held, size = TaskContext.get().partitionId(), 0, [], [], 0
     end = np.array([p.end_id], "<u4").tobytes()
 
@@ -154,33 +205,29 @@ def _segments(batches, p: Params):
             ["shard", "segment", "n_ids", "doc_ids", "lengths", "coded"],
         )
 
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
-            for doc, ids in zip(part.column(0).to_pylist(), encoder(p.tokenizer).batch([t or "" for t in part.column(1).to_pylist()])):
-                docs.append(doc), held.append(ids + end)
-                size += len(held[-1]) // 4
-                if size >= p.segment_ids:
-                    yield row()
-                    number, docs, held, size = number + 1, [], [], 0
+    for part in _parts(batches):
+        for doc, ids in zip(part.column(0).to_pylist(), encoder(p.tokenizer).batch(part.column(1))):
+            docs.append(doc), held.append(ids + end)
+            size += len(held[-1]) // 4
+            if size >= p.segment_ids:
+                yield row()
+                number, docs, held, size = number + 1, [], [], 0
     if docs:
         yield row()
 
 
 def _counted(batches, p: Params):
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
-            n = [x + 1 for x in encoder(p.tokenizer, counts=True).batch(part.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["id", "n"])
+    sole(_encoders.clear)
+    for part in _parts(batches):
+        n = [x + 1 for x in encoder(p.tokenizer, counts=True).batch(part.column(1))]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["id", "n"])
 
 
 def _encoded(batches, p: Params):
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 1000):
-            part = batch.slice(lo, 1000)
-            ids = [np.append(np.frombuffer(x, "<u4"), p.end_id).astype(np.int32) for x in encoder(p.tokenizer).batch(part.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
+    sole(_encoders.clear)
+    for part in _parts(batches):
+        ids = [np.append(np.frombuffer(x, "<u4"), p.end_id).astype(np.int32) for x in encoder(p.tokenizer).batch(part.column(1))]
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["id", "ids"])
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
