@@ -7,9 +7,10 @@ writer commits both, so a lost executor's attempts leave nothing behind, and any
 opens the folder in any session. Documents are dealt by ranges of their id (rows of one id by their texts' hash too) and sorted
 inside a range, so shard and segment order is id order.
 
-Encoding goes through the tokenizers library. A text is cut at single blanks between two characters that
-aren't white space: the vocabulary's pre-tokenizer always starts a new token there, so each piece encodes
-alone as it does in place, and a worker encodes a piece once and remembers it (a bounded number of pieces).
+Encoding goes through the tokenizers library. A text is cut at blanks and before newlines that stand alone between
+characters that aren't white space: the vocabulary's pre-tokenizer always starts a new token there, and where marks
+follow a letter, so each piece encodes alone as it does in place, and a worker encodes a piece once and remembers it (a
+bounded number of pieces). Texts with other white space are cut more carefully.
 
 Defined results: a null text is an empty one, which is the end id alone; rows that repeat an id stay rows,
 ordered by their texts' hash, then text; a null id sorts first; an empty table gives an empty table; other columns aren't read.
