@@ -18,6 +18,9 @@ from ..sources.shared import delete, new_folder
 #: Blanks as the contracts define them: space and \t \n \v \f \r.
 BLANK = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
+#: Rows of texts that travel to a worker and back at once: a batch is held by the JVM, beside its heap, and by the worker.
+TEXT_ROWS = 1_000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Stash:
@@ -36,10 +39,11 @@ class Stash:
         self.count += 1
         return f"{self.root}/{self.count}"
 
-    def put(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once and read it back: a plan without history."""
+    def put(self, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """Write ``df`` once and read it back: a plan without history. rows: of an Arrow batch at most, while it is written."""
         path = self.place()
-        df.write.mode("overwrite").parquet(path)
+        with _batches_of(df.sparkSession, rows):
+            df.write.mode("overwrite").parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back._stash_path = path
         return back
@@ -55,6 +59,20 @@ class Stash:
             Stash.live.remove(self)
 
 
+@contextmanager
+def _batches_of(spark: SparkSession, rows: int | None):
+    """Plans that run inside send at most ``rows`` rows to a worker at once; the session's setting holds where it is smaller."""
+    before = spark.conf.get(_BATCH)
+    if rows is None or 0 < int(before) <= rows:
+        yield
+        return
+    spark.conf.set(_BATCH, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 _clear: list = []
 
 
@@ -72,6 +90,14 @@ def sole(clear) -> None:
         _clear.append(clear)
 
 
+def lean(batches):
+    """The batches; after each, what Arrow has freed goes back to the system. Its pool would keep the most that it ever held."""
+    for batch in batches:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+
+
 @contextmanager
 def scratch():
     """Removes the stashes that operators make inside: write what they return before the block ends."""

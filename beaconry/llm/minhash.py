@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, own, quoted, sole
+from .common import TEXT_ROWS, Stash, own, quoted, sole
 from .graph import components
 
 U = np.uint64
@@ -264,7 +264,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     p = p or Params()
     stash = stash or Stash(docs.sparkSession)
     texts, again = one_text(docs, id_col, text_col, p, stash)
-    rows = stash.put(texts.mapInArrow(lambda b: _sketches(b, p), "id long, n long, print binary, bands array<long>"))
+    rows = stash.put(texts.mapInArrow(lambda b: _sketches(b, p), "id long, n long, print binary, bands array<long>"), TEXT_ROWS)
     # classes of equal sets
     copies = stash.put(rows.filter("id IS NOT NULL AND n > 0").groupBy("print").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c"))
     member = stash.put(rows.select("id", "n", "print").join(copies, "print", "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep")))
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stash.put(banded.join(shared, "key").select("key", "id", "n", "c"))
     pairs = stash.put(members.filter("id <> c").select("c", F.col("id").alias("i")).distinct())
     ids = stash.put(members.select("id").distinct())
-    sets = stash.put(texts.join(_few(ids, p.broadcast_ids), "id", "left_semi").mapInArrow(lambda b: _sets(b, p), "id long, set binary"))
+    sets = stash.put(texts.join(_few(ids, p.broadcast_ids), "id", "left_semi").mapInArrow(lambda b: _sets(b, p), "id long, set binary"), TEXT_ROWS)
     edges = stash.put(verified(pairs, sets, p, stash))
     label = components(edges, stash)
 

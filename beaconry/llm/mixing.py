@@ -27,10 +27,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stash, fresh, own, quoted, sole
+from .common import TEXT_ROWS, Stash, fresh, lean, own, quoted, sole
 from .hashed_text import DIM, Rows, Training, fit_softmax, forget_words, probabilities, sample
 
 #: Domains by the labels (quality, toxic), with their share of tokens in the mixture.
@@ -61,16 +61,17 @@ class Solution:
     settled: bool
 
 
-def _posteriors(batches, shared, domains: int):
+def _posteriors(batches, shared, domains: int, at: int | None):
+    """``t, p, row`` of rows ``row`` whose text is column ``at`` of the row, or of ``row, x`` with the text beside it."""
     sole(forget_words)
     w, b = shared.value
-    for batch in batches:
+    for batch in lean(batches):
         for lo in range(0, batch.num_rows, 500):
             part = batch.slice(lo, 500)
-            rows = Rows(part.column(0).to_pylist())
+            rows = Rows((part.column(1) if at is None else part.column(0).field(at)).to_pylist())
             p = probabilities(rows, w, b)
             arrays = [pa.array(rows.words + 1), pa.FixedSizeListArray.from_arrays(pa.array(p.ravel()), domains).cast(pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*arrays, *(part.column(i) for i in range(1, part.num_columns))], ["t", "p", *part.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([*arrays, part.column(0)], ["t", "p", "row"])
 
 
 def rates(p: np.ndarray, steps: list[tuple[float, np.ndarray]], r: np.ndarray | None = None, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -144,10 +145,13 @@ def solve(members: DataFrame, params: Params, stash: Stash) -> Solution:
         pending.append(step), steps.append(step)
 
 
-def _rated(batches, steps, domains: int):
-    for batch in batches:
-        r, _ = rates(_matrix(batch, 1, domains), steps)
-        yield pa.RecordBatch.from_arrays([pa.array(r), *(batch.column(i) for i in range(batch.num_columns))], ["r", *batch.schema.names])
+def _rate(steps: list[tuple[float, np.ndarray]], domains: int, p: str = "p") -> Column:
+    """The rate after ``steps`` by the posteriors in column ``p``: only they go to a worker. Not evaluated once more by filters."""
+
+    def rate(x: pa.Array) -> pa.Array:
+        return pa.array(rates(x.flatten().to_numpy(zero_copy_only=False).reshape(-1, domains), steps)[0])
+
+    return F.arrow_udf(rate, "double").asNondeterministic()(p)
 
 
 def mix(docs: DataFrame, labels: DataFrame, params: Params | None = None, text_col: str = "text", id_col: str = "doc_id") -> tuple[DataFrame, str]:
@@ -164,11 +168,14 @@ def mix(docs: DataFrame, labels: DataFrame, params: Params | None = None, text_c
     model = fit_softmax(Rows(texts), y, k, params.training) if len(y) else (np.zeros((k, DIM)), np.zeros(k))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     out = fresh(docs, "__mix")
-    inner = docs.select(F.col(quoted(text_col)).cast("string").alias("x"), F.struct(*own(docs)).alias("row"))
+    inner = docs.select(F.struct(*own(docs)).alias("row"))
+    at = docs.columns.index(text_col) if dict(docs.dtypes).get(text_col) == "string" else None
     schema = inner.select(F.lit(0).cast("long").alias("t"), F.lit(None).cast("array<double>").alias("p"), "row").schema
-    members = stash.put(inner.mapInArrow(lambda b: _posteriors(b, shared, k), schema))
+    if at is None:
+        inner = docs.select(F.struct(*own(docs)).alias("row"), F.col(quoted(text_col)).cast("string").alias("x"))
+    members = stash.put(inner.mapInArrow(lambda b: _posteriors(b, shared, k, at), schema), TEXT_ROWS)
     found = solve(members.select("t", "p"), params, stash)
-    rated = members.mapInArrow(lambda b: _rated(b, found.steps, k), members.select(F.lit(0.0).alias("r"), "t", "p", "row").schema)
+    rated = members.select(_rate(found.steps, k).alias("r"), "t", "p", "row")
     part = F.pmod(F.xxhash64(F.col("row")[id_col], F.lit("copies")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     mixed = F.struct(F.col("t").alias("n_tokens"), F.col("p").alias("posteriors"), F.col("r").alias("rate"), F.floor(F.col("r") + part).cast("int").alias("copies"), F.lit(found.miss).alias("target_miss"))
     return rated.select("row.*", mixed.alias(out)), out

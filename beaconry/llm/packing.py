@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import token_ids
-from .common import Stash
+from .common import TEXT_ROWS, Stash
 
 
 @dataclass(frozen=True)
@@ -118,7 +118,7 @@ def best_fit(lengths: DataFrame, p: Params | None = None, stash: Stash | None =
     p = p or Params()
     top = max(p.lengths)
     stash = stash or Stash(lengths.sparkSession)
-    n = stash.put(lengths.select("id", "n").filter("n > 0"))
+    n = stash.put(lengths.select("id", "n").filter("n > 0"), TEXT_ROWS)
     pieces = n.select("id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(top).cast("long"))).alias("piece", "start"))
     pieces = pieces.select("id", F.col("piece").cast("long").alias("piece"), "start", F.least(F.lit(top).cast("long"), F.col("n") - F.col("start")).alias("length"))
     count = n.agg(F.sum(F.ceil(F.col("n") / top))).first()[0] or 0

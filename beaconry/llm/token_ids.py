@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import simple8b
-from .common import Stash, quoted, sole, whole_text
+from .common import Stash, lean, quoted, sole, whole_text
 
 #: Pieces that a worker remembers in each of two generations; a piece that is met again moves to the young one.
 CACHE = 250_000
@@ -219,7 +219,7 @@ def _segments(batches, p: Params):
 
 def _counted(batches, p: Params):
     sole(_encoders.clear)
-    for part in _parts(batches):
+    for part in lean(_parts(batches)):
         n = [x + 1 for x in encoder(p.tokenizer, counts=True).batch(part.column(1))]
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64())], ["id", "n"])
 
